@@ -6,22 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import decontaminate, packing
+from pyspark.sql import functions as F
+
+from sieveline.llm import decontaminate, fingerprint, language, packing, quality
 from sieveline.llm.common import read, worker_path
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    worker_path(spark)
+    return fingerprint.compare_with_edits(read(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     worker_path(spark)
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, expected_grade, p_tail, keep."""
+    worker_path(spark)
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(documents, quality.grades_of_labels(read(spark, sf_dir, "labels")))
+    return quality.score(documents, model).select("doc_id", "expected_grade", "p_tail", "keep")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    worker_path(spark)
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out("doc_id"))
+    counts = language.learn(documents.where(~F.col("held_out")))
+    return language.identify(documents.select("doc_id", "held_out", "text"), counts).select("doc_id", "held_out", "lang_pred", "score", "lang_shares")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     worker_path(spark)
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
     "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
     "op9_packing": op9_packing,
 }
 
