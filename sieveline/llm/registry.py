@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, fingerprint, language, packing, quality
+from sieveline.llm import decontaminate, fingerprint, language, packing, quality, substring_dedup
 from sieveline.llm.common import read, worker_path
 
 
@@ -17,6 +17,11 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(read(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    worker_path(spark)
+    return substring_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     worker_path(spark)
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -44,6 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
