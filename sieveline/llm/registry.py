@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, fingerprint, language, line_dedup, packing, quality, substring_dedup, url_filter
+from sieveline.llm import chat, decontaminate, fingerprint, language, line_dedup, packing, quality, substring_dedup, url_filter
 from sieveline.llm.common import read, worker_path
 
 
@@ -46,6 +46,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents.select("doc_id", "held_out", "text"), counts).select("doc_id", "held_out", "lang_pred", "score", "lang_shares")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    worker_path(spark)
+    return chat.repair(read(spark, sf_dir, "conversations"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     worker_path(spark)
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
+    "op7_chat_format": op7_chat_format,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
 }
