@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat, decontaminate, fingerprint, language, line_dedup, packing, quality, substring_dedup, url_filter
+from sieveline.llm import chat, decontaminate, fingerprint, jaccard_join, language, line_dedup, packing, quality, substring_dedup, url_filter
 from sieveline.llm.common import read, worker_path
 
 
@@ -51,6 +51,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(read(spark, sf_dir, "conversations"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    worker_path(spark)
+    return jaccard_join.cluster(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     worker_path(spark)
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_chat_format": op7_chat_format,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
 }
