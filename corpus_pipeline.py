@@ -1,8 +1,77 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, line dedup, near duplicates, decontamination, packing.
 
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the columns of
+documents; the last returns the packed pieces. run() writes each stage's result and reads it again.
+
+Documents that the quality classifier rejects go. Lines that stand on many sites are removed from the texts
+(a document stays, even if no line does). One document of each group of near copies stays, the one with the
+least id; rows with one id are one document. Documents that hold a passage of the benchmark go. The rest is
+packed. Null ids are never near copies of anything; null texts are rejected by the classifier. Further columns
+of the table pass through to the last stage but one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveline.llm import decontaminate, jaccard_join, line_dedup, packing, quality
+from sieveline.llm.common import Scratch, read, worker_path
+
+#: Near duplicates: words of a shingle, and the least similarity in percent.
+WORDS, PERCENT = 5, 80
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    worker_path(spark)
+    model = quality.fit(docs, quality.grades_of_labels(read(spark, sf_dir, "labels")))
+    return quality.score(docs, model).where("keep").select(*docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_spread_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    worker_path(spark)
+    groups = jaccard_join.cluster(docs, n=WORDS, percent=PERCENT)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    one_each = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one_each.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    worker_path(spark)
+    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
+    return found.where("hit_words is null").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    worker_path(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", drop_boilerplate),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
+
+#: The classifier, the similarity components and the packing have no SQL; tests compare with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    before = None
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        if before is not None:
+            scratch.drop(before)
+        before = f"stage-{k}"
+    return docs
