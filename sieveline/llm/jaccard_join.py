@@ -238,7 +238,8 @@ class Join:
 
         posts = classes.select("node", "doc", "copies", "size", "shown").mapInArrow(postings, "token long, place long, node binary, doc long, copies long, size long")
         # sizes of linked sets differ by less than one step of this scale
-        posts, at = self.save(posts.withColumn("scale", F.floor(F.log(F.col("size")) / F.log(F.lit(100 / min(self.percent, 99)))))), self.saves + 1
+        posts = self.save(posts.withColumn("scale", F.floor(F.log(F.col("size")) / F.log(F.lit(100 / min(self.percent, 99))))))
+        at = self.saves
         found, labels = None, None
         for r in range(STAR_ROUNDS):
             new = self.links(self.stars(posts, labels, r))
