@@ -82,7 +82,8 @@ class TfIdf:
             norm = np.sqrt((own**2).sum())
             return Vectors.sparse(v.size, v.indices, own / norm if norm else own)
 
-        return counts.withColumn(self.name, weigh("__counts")).drop("__grams", "__counts")
+        # else the optimiser tries to fold it over small local tables, which it can't
+        return counts.withColumn(self.name, weigh.asNondeterministic()("__counts")).drop("__grams", "__counts")
 
 
 def text_features(train: DataFrame, frames: list[DataFrame], text: str = "text", size: int = FEATURES) -> tuple[list[TfIdf], list[DataFrame]]:
