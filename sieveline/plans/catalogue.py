@@ -6,6 +6,7 @@ the defaults are tested on fixtures of their own.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from sieveline.functions import text as tx
 from sieveline.operators import audit, extract, framing, media, metrics, ml, relevance, similarity, splits
+from sieveline.plans.workers import reachable
 from sieveline.sources import records as src
 from sieveline.sources import sinks
 
@@ -24,7 +26,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            reachable(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql
         return f
