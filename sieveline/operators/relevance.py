@@ -62,7 +62,7 @@ def score(
     hits = F.array_distinct(F.flatten(F.array(*[F.transform(F.col(h), lambda t: t["term"]) for h in per_field])))
     out = out.withColumn("hits", F.slice(hits, 1, most_hits))
     out = out.withColumn("relevance", F.round(F.col("score_milli") / 1000, 2)).withColumn("is_relevant", F.col("score_milli") >= threshold)
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    return out.drop(*[f"__{n}" for n, _ in have], *per_field)
 
 
 def image_text(images: Column | str = "images") -> Column:
