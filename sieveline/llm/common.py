@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -52,6 +54,11 @@ class Scratch:
         df.write.mode("overwrite").options(**options).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of steps that nothing refers to any more; it does so when garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
@@ -73,7 +80,7 @@ def partitions(spark: SparkSession) -> int:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
-    BOUND = 1 << 19
+    BOUND = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
@@ -104,6 +111,18 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_ALNUM).split() if text else []
 
 
+def word_chunks(texts: list[str | None], words_of: Callable[[str | None], list[bytes]], most: int = 200_000) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Runs of texts as words, of about ``most`` words each, with the place of their first text; only one run is held at a time."""
+    first, part, n = 0, [], 0
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        part.append(words)
+        n += len(words) + 4
+        if n >= most or i == len(texts) - 1:
+            yield first, part
+            first, part, n = i + 1, [], 0
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
 

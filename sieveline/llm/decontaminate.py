@@ -23,12 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Powers, WordHashes, alnum_words, winnow
+from sieveline.llm.common import Powers, WordHashes, alnum_words, winnow, word_chunks
 
 WINDOW, GRAM = 10, 4
 BLOCK_CHARS = 8_000_000
-#: Words that are fingerprinted at one time.
-CHUNK = 200_000
 
 
 class Fingerprints:
@@ -94,18 +92,6 @@ def _hits(index: Fingerprints, docs: list[list[bytes]]) -> list[tuple[np.ndarray
     return [(covered[a:b], x) for a, b, x in zip(starts, ends, items, strict=True)]
 
 
-def _chunks(docs: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
-    part, n = [], 0
-    for d in docs:
-        part.append(d)
-        n += len(d)
-        if n >= CHUNK:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
-
-
 def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Adds n_words, hit_words (packed bits, one a word, null if none) and hit_items (item ids as strings, sorted) to documents."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body")).where("item is not null and body is not null")
@@ -121,11 +107,12 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Fingerprints(held.value, window, gram)
             for batch in batches:
-                docs = [alnum_words(x) for x in batch.column(text).to_pylist()]
+                texts = batch.column(text).to_pylist()
                 before = zip(batch.column("hit_words").to_pylist(), batch.column("hit_items").to_pylist(), strict=True)
-                found = (x for part in _chunks(docs) for x in _hits(index, part))
-                bits, ids = [], []
+                found = (x for _, part in word_chunks(texts, alnum_words) for x in _hits(index, part))
+                sizes, bits, ids = [], [], []
                 for (mask, new), (old, had) in zip(found, before, strict=True):
+                    sizes.append(len(mask))
                     if new:
                         packed = np.packbits(mask)
                         bits.append((packed if old is None else packed | np.frombuffer(old, np.uint8)).tobytes())
@@ -133,7 +120,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "
                         bits.append(old)
                     ids.append(sorted({*had, *new}))
                 columns = {c: batch.column(c) for c in batch.schema.names}
-                columns |= {"n_words": pa.array([len(d) for d in docs], pa.int64()), "hit_words": pa.array(bits, pa.binary()), "hit_items": pa.array(ids, pa.list_(pa.string()))}
+                columns |= {"n_words": pa.array(sizes, pa.int64()), "hit_words": pa.array(bits, pa.binary()), "hit_items": pa.array(ids, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_pydict(columns)
 
         out = out.mapInArrow(run, schema)

@@ -7,7 +7,8 @@ the join is exact, and gives each document its number of shingles and its compon
    total order gives the right result, so the sketch's error costs time only.
 2. Documents with equal sets are one class. Each class shows the first part of its ordered set, long enough
    that two linked sets share a shingle there, at places that leave room for the overlap.
-3. Classes that share such a shingle are paired: first each with one leader of its posting list, in lists of
+3. Classes that share such a shingle, and whose parity bitmaps allow a link, are paired: shingles of just two
+   classes give their pair; in longer posting lists each class is paired first with one leader of its posting list, in lists of
    equal size ranges; then, once the links found have been joined to components, only classes of different
    components. A group of near copies thus takes as many pairs as it has members, and still no link between
    components is missed.
@@ -29,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Powers, Scratch, WordHashes, cut, lower_space_words, mix, signed
-from sieveline.llm.substring_dedup import _bit, _chunks, fixed_set
+from sieveline.llm.common import Powers, Scratch, WordHashes, cut, lower_space_words, mix, signed, word_chunks
+from sieveline.llm.substring_dedup import _bit, fixed_set, inside
 
 N, PERCENT, FRAGMENTS = 3, 90, 6
+#: 64-bit words of a set's parity bitmap.
+PARITY_WORDS = 8
 SKETCH_BITS, PART_BITS, TOKEN_BITS, DOC_BITS = 22, 12, 25, 22
 STAR_ROUNDS = 2
+#: Labels of so many classes (some 5 MB) are broadcast; more are joined by shuffle.
+BROADCAST_LABELS = 100_000
 
 
 class Shingles:
@@ -70,6 +75,13 @@ def _nodes(owner: np.ndarray, h: np.ndarray, n_docs: int) -> list[bytes | None]:
     return out
 
 
+def _parity(owner: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+    """Per set the parities of its hashes' slots; two differ in no more bits than the sets in elements."""
+    out = np.zeros(n_docs * PARITY_WORDS, np.uint64)
+    np.bitwise_xor.at(out, owner * PARITY_WORDS + (h >> np.uint64(6)).astype(np.int64) % PARITY_WORDS, np.uint64(1) << (h & np.uint64(63)))
+    return signed(out)
+
+
 def count_sketch(documents: DataFrame, n: int, text: str = "text") -> np.ndarray:
     """How many documents' shingles fall in each of 2**SKETCH_BITS slots."""
     width = 1 << (SKETCH_BITS - PART_BITS)
@@ -77,7 +89,7 @@ def count_sketch(documents: DataFrame, n: int, text: str = "text") -> np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, counts = Shingles(n), np.zeros(1 << SKETCH_BITS, np.uint32)
         for rows in batches:
-            for _, part in _chunks([lower_space_words(x) for x in rows.column(0).to_pylist()]):
+            for _, part in word_chunks(rows.column(0).to_pylist(), lower_space_words):
                 np.add.at(counts, _bit(make.of(part)[1], SKETCH_BITS), 1)
         parts = counts.reshape(-1, width)
         used = np.flatnonzero(parts.any(axis=1))
@@ -110,13 +122,12 @@ def pivots(sketch: np.ndarray, fragments: int) -> list[tuple[int, int]]:
 
 
 def scan(documents: DataFrame, sketch, n: int, percent: int, doc: str, text: str) -> DataFrame:
-    """Per document: doc, size, node (hash of its set, null if empty), shown (its first shingles in the order)."""
+    """Per document: doc, size, node (hash of its set, null if empty), shown (its first shingles in the order), parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, counts = Shingles(n), sketch.value
         for rows in batches:
-            docs = [lower_space_words(x) for x in rows.column(1).to_pylist()]
-            for first, part in _chunks(docs):
+            for first, part in word_chunks(rows.column(1).to_pylist(), lower_space_words):
                 owner, h = make.of(part)
                 sizes = np.bincount(owner, minlength=len(part))
                 order = np.lexsort((h, counts[_bit(h, SKETCH_BITS)], owner))
@@ -126,20 +137,20 @@ def scan(documents: DataFrame, sketch, n: int, percent: int, doc: str, text: str
                 shown = rank < np.repeat(length, sizes)
                 kept = np.bincount(owner[shown], minlength=len(part))
                 offsets = np.concatenate([[0], np.cumsum(kept)])
-                yield pa.RecordBatch.from_arrays([rows.column(0)[first : first + len(part)], pa.array(sizes, pa.int64()), pa.array(_nodes(owner, h, len(part)), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(h[order][shown])))], names=["doc", "size", "node", "shown"])
+                yield pa.RecordBatch.from_arrays([rows.column(0)[first : first + len(part)], pa.array(sizes, pa.int64()), pa.array(_nodes(owner, h, len(part)), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(h[order][shown]))), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * PARITY_WORDS, pa.int32()), pa.array(_parity(owner, h, len(part))))], names=["doc", "size", "node", "shown", "parity"])
 
-    return documents.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, size long, node binary, shown array<long>")
+    return documents.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, size long, node binary, shown array<long>, parity array<long>")
 
 
 def fragment_rows(documents: DataFrame, wanted: np.ndarray, sketch, cuts: list[tuple[int, int]], n: int, doc: str, text: str) -> DataFrame:
-    """node, fragment, tokens of the documents in the fixed set, one row for each distinct set and fragment."""
+    """node, fragment, tokens of the documents in the fixed set."""
     held = documents.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, counts, inside = Shingles(n), sketch.value, np.unpackbits(held.value).astype(bool)
+        make, counts = Shingles(n), sketch.value
         for rows in batches:
-            rows = rows.filter(pa.array(inside[_bit(rows.column(0).to_numpy(), DOC_BITS)]))
-            for _, part in _chunks([lower_space_words(x) for x in rows.column(1).to_pylist()]):
+            rows = rows.filter(pa.array(inside(held.value, rows.column(0).to_numpy(), DOC_BITS)))
+            for _, part in word_chunks(rows.column(1).to_pylist(), lower_space_words):
                 owner, h = make.of(part)
                 nodes = _nodes(owner, h, len(part))
                 c = counts[_bit(h, SKETCH_BITS)]
@@ -160,8 +171,9 @@ def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """a, b, common: overlaps counted fragment by fragment, and summed. A missing row is a fragment without shingles."""
     left = rows.select(F.col("node").alias("a"), "fragment", F.col("tokens").alias("own"))
     right = rows.select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("other"))
-    counted = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("own", "other")).cast("long").alias("n"))
-    return counted.groupBy("a", "b").agg(F.sum("n").alias("common"))
+    counted = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("own", "other")).cast("long").alias("n"))
+    # copies of a set may have rows of their own
+    return counted.groupBy("a", "b", "fragment").agg(F.max("n").alias("n")).groupBy("a", "b").agg(F.sum("n").alias("common"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -204,15 +216,23 @@ class Join:
     def fits(self, a: str = "size", b: str = "other_size"):
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
+    def room(self, size: str, place: str, other_size: str, other_place: str):
+        """From the shared shingle on, both sets are long enough for the overlap; true of linked sets' first shared one."""
+        left = F.least(F.col(size) - F.col(place), F.col(other_size) - F.col(other_place))
+        return left * (100 + self.percent) >= (F.col(size) + F.col(other_size)) * self.percent
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """a, b of the pairs (a, b, size, other_size, doc, other_doc) that link."""
-        pairs = self.save(pairs)
+        # sets that differ in more slots' parities than linked ones may are no link
+        left, right = self.parities.select(F.col("node").alias("a"), F.col("parity").alias("own")), self.parities.select(F.col("node").alias("b"), F.col("parity").alias("other"))
+        differing = sum((F.bit_count(F.get("own", F.lit(i)).bitwiseXOR(F.get("other", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+        able = differing * (100 + self.percent) <= (F.col("size") + F.col("other_size")) * (100 - self.percent)
+        pairs = self.save(pairs.join(left, "a").join(right, "b").where(able).drop("own", "other"))
         if pairs.isEmpty():
             return pairs.select("a", "b")
         docs = pairs.select(F.xxhash64("doc").alias("h")).unionByName(pairs.select(F.xxhash64("other_doc").alias("h")))
         rows = fragment_rows(self.documents, fixed_set(docs, "h", DOC_BITS), self.sketch, self.cuts, self.n, self.doc_id, self.text)
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        rows = self.save(rows.join(nodes, "node", "left_semi").dropDuplicates(["node", "fragment"]))
+        rows = self.save(rows)
         common = overlaps(pairs, rows)
         judged = pairs.join(common, ["a", "b"]).where(F.col("common") * 100 >= (F.col("size") + F.col("other_size") - F.col("common")) * self.percent)
         found = self.save(judged.select("a", "b"))
@@ -222,33 +242,37 @@ class Join:
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """The scanned documents, links between classes, and labels of classes that have links."""
         scanned = self.save(scan(self.documents, self.sketch, self.n, self.percent, self.doc_id, self.text))
-        classes = self.save(scanned.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("shown").alias("shown")))
-        shared = classes.select(F.explode("shown").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        held = self.spark.sparkContext.broadcast(np.packbits(fixed_set(shared, "token", TOKEN_BITS)))
+        classes = self.save(scanned.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("shown").alias("shown"), F.first("parity").alias("parity")))
+        self.parities = self.save(classes.select("node", "parity"))
+        shared = self.save(classes.select(F.explode("shown").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        held = self.spark.sparkContext.broadcast(tuple(np.packbits(fixed_set(shared.where(f"n > {k}"), "token", TOKEN_BITS)) for k in (1, 2)))
 
         def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted = np.unpackbits(held.value).astype(bool)
+            wanted, often = held.value
             for rows in batches:
                 shown = rows.column("shown")
                 flat, offsets = shown.flatten().to_numpy(), np.concatenate([[0], np.cumsum(shown.value_lengths().to_numpy())])
                 row = np.repeat(np.arange(len(rows)), np.diff(offsets))
-                at = np.flatnonzero(wanted[_bit(flat, TOKEN_BITS)])
+                at = np.flatnonzero(inside(wanted, flat, TOKEN_BITS))
                 take = pa.array(row[at])
-                yield pa.RecordBatch.from_arrays([pa.array(flat[at]), pa.array((at - offsets[row[at]]), pa.int64()), *(rows.column(c).take(take) for c in ("node", "doc", "copies", "size"))], names=["token", "place", "node", "doc", "copies", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at]), pa.array(inside(often, flat[at], TOKEN_BITS)), pa.array((at - offsets[row[at]]), pa.int64()), *(rows.column(c).take(take) for c in ("node", "doc", "copies", "size"))], names=["token", "many", "place", "node", "doc", "copies", "size"])
 
-        posts = classes.select("node", "doc", "copies", "size", "shown").mapInArrow(postings, "token long, place long, node binary, doc long, copies long, size long")
+        posts = classes.select("node", "doc", "copies", "size", "shown").mapInArrow(postings, "token long, many boolean, place long, node binary, doc long, copies long, size long")
         # sizes of linked sets differ by less than one step of this scale
         posts = self.save(posts.withColumn("scale", F.floor(F.log(F.col("size")) / F.log(F.lit(100 / min(self.percent, 99))))))
         at = self.saves
-        found, labels = None, None
+        found = self.links(self.twos(posts.where("not many")))
+        labels = None if found.isEmpty() else components(found)
+        posts = posts.where("many").drop("many")
         for r in range(STAR_ROUNDS):
             new = self.links(self.stars(posts, labels, r))
-            found = new if found is None else found.unionByName(new)
-            labels = components(found) if not new.isEmpty() or labels is not None else None
+            if not new.isEmpty():
+                found = found.unionByName(new)
+                labels = components(found)
         apart, last = self.rest(posts, labels)
         new = self.links(apart)
         self.drop_from(last, last)
-        self.drop_from(at - 1, at)  # the classes' first shingles and their posting lists
+        self.drop_from(at - 3, at)  # the classes' first shingles and parities, and their posting lists
         if not new.isEmpty():
             found = found.unionByName(new)
             labels = components(found)
@@ -257,15 +281,24 @@ class Join:
     def labelled(self, posts: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
             return posts.withColumn("label", F.col("node"))
-        return posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        small = labels.count() <= BROADCAST_LABELS
+        return posts.join(F.broadcast(labels) if small else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def twos(self, posts: DataFrame) -> DataFrame:
+        """The pairs that shingles of just two classes make; no list is longer, so an aggregate gives them."""
+        row = F.struct("node", "doc", "size", "place")
+        both = posts.groupBy("token").agg(F.min(row).alias("x"), F.max(row).alias("y")).where("x.node <> y.node")
+        able = both.where(self.fits("x.size", "y.size") & self.room("x.size", "x.place", "y.size", "y.place"))
+        return able.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("size"), F.col("y.size").alias("other_size"), F.col("x.doc").alias("doc"), F.col("y.doc").alias("other_doc")).dropDuplicates(["a", "b"])
 
     def stars(self, posts: DataFrame, labels: DataFrame | None, r: int) -> DataFrame:
         """Pairs of each class with a leader of its posting list, where their components differ."""
         posts = self.labelled(posts, labels)
         first = F.struct(-F.col("copies"), F.col("doc")) if r == 0 else F.struct(F.xxhash64("node", F.lit(r)), F.col("doc"))
-        lead = F.min(F.struct(first.alias("by"), "node", "doc", "size", "label")).alias("lead")
+        lead = F.min(F.struct(first.alias("by"), "node", "doc", "size", "label", "place")).alias("lead")
         leaders = posts.groupBy("token", "scale").agg(lead, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token", "scale", "lead")
         joined = posts.join(leaders, ["token", "scale"]).where(F.col("label") != F.col("lead.label"))
+        joined = joined.where(self.room("size", "place", "lead.size", "lead.place"))
         pairs = joined.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.size").alias("size"), F.col("size").alias("other_size"), F.col("lead.doc").alias("doc"), F.col("doc").alias("other_doc"))
         return pairs.where(self.fits()).dropDuplicates(["a", "b"])
 
@@ -275,9 +308,7 @@ class Join:
         mixed = posts.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
         own = posts.join(mixed, "token").select("token", "place", "node", "doc", "size", "label")
         other = own.select("token", *[F.col(c).alias(f"other_{c}") for c in ("place", "node", "doc", "size", "label")])
-        both = F.col("size") + F.col("other_size")
-        room = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
-        pairs = own.join(other, "token").where((F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & self.fits() & (room * (100 + self.percent) >= both * self.percent))
+        pairs = own.join(other, "token").where((F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & self.fits() & self.room("size", "place", "other_size", "other_place"))
         return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b"), "size", "other_size", "doc", "other_doc").dropDuplicates(["a", "b"]), self.saves
 
 

@@ -10,10 +10,10 @@ log-structured: every batch adds one immutable run, sorted by those columns; a b
 with the runs, and runs are compacted to one when there are more than ``most_runs``.
 
 A segment known from an earlier owner is covered whole. Where an anchor has different segments (the ends of a
-shared passage, or a mere common phrase), the text is read again and the single windows are compared by
-128 bits of independent hashes, the verification. Both steps group by content, so no pairs are formed, and
-groups of any size are pre-aggregated before they are shuffled. A set of fixed size (``bits``) tells which
-anchors need the second reading; where it is too full it costs time, never a window.
+shared passage, or a mere common phrase), the texts of their first owners are read again and the single windows
+are compared by 128 bits of independent hashes, the verification. Both steps group by content, so no pairs are
+formed, and groups of any size are pre-aggregated before they are shuffled. Sets of fixed size (``bits``) tell
+which anchors and owners need the second reading; where they are too full it costs time, never a window.
 
 Null texts have no words. Null ids count as larger than all others and don't precede each other. Repeated
 rows don't precede each other, as their ids are equal; rows with one id and different texts are kept apart.
@@ -30,24 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import BASE_2, Powers, Scratch, WordHashes, mix, signed, space_words, winnow
+from sieveline.llm.common import BASE_2, Powers, Scratch, WordHashes, mix, signed, space_words, winnow, word_chunks
 
 WINDOW, GRAM, BITS, MOST_RUNS = 50, 8, 24, 4
-CHUNK = 200_000
-#: Size of the set that tells which texts lose words.
-DOC_BITS = 22
+#: Sizes of the sets that tell which texts lose words, and which windows occur again.
+DOC_BITS, WINDOW_BITS = 22, 25
 LAST = (1 << 63) - 1
 
 
-def _chunks(docs: list[list[bytes]]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    first = n = 0
-    for i, d in enumerate(docs):
-        n += len(d)
-        if n >= CHUNK or i == len(docs) - 1:
-            yield first, docs[first : i + 1]
-            first, n = i + 1, 0
-
-
 class Segments:
     """Windows, anchors and segments of a run of documents."""
 
@@ -94,6 +84,17 @@ def _bit(x: np.ndarray, bits: int) -> np.ndarray:
     return (x.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def inside(packed: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    """Which of x are in a set of fixed size, as fixed_set() gives it, packed."""
+    at = _bit(x, bits)
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _owned(s1: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One number for a segment and its owner; its upper bits tell both apart."""
+    return s1.view(np.uint64) ^ (doc.view(np.uint64) << np.uint64(40))
+
+
 def fixed_set(values: DataFrame, column: str, bits: int) -> np.ndarray:
     """A set of fixed size of 64-bit values, by their upper bits: 2**bits bits, whatever the number of values."""
     slot = F.shiftrightunsigned(column, 64 - bits)
@@ -108,7 +109,7 @@ class WindowIndex:
     """The log of runs in a folder, and what a batch has in common with it."""
 
     KEY = ["anchor", "s1", "s2"]
-    RUN = "anchor long, s1 long, s2 long, doc long"
+    RUN = "anchor long, s1 long, s2 long, doc long, owners long, old_doc long"
 
     def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, bits: int = BITS, most_runs: int = MOST_RUNS):
         self.spark, self.window, self.gram, self.bits, self.most_runs = spark, window, gram, bits, most_runs
@@ -117,20 +118,19 @@ class WindowIndex:
         self.made = 0
 
     def history(self) -> DataFrame:
-        """Rows of all runs: a segment's words may have an owner in each."""
-        if not self.runs:
-            return self.spark.createDataFrame([], self.RUN)
-        return self.spark.read.schema(self.RUN).parquet(*[f"{self.scratch.path}/{r}" for r in self.runs])
+        """anchor, s1, s2, doc of the segments of all runs, each once."""
+        rows = self.spark.read.schema(self.RUN).parquet(*[f"{self.scratch.path}/{r}" for r in self.runs]) if self.runs else self.spark.createDataFrame([], self.RUN)
+        return rows.where("old_doc is null").select(*self.KEY, "doc")  # the others are in an older run
 
-    def _write(self, rows: DataFrame) -> None:
+    def _write(self, rows: DataFrame) -> DataFrame:
         self.made += 1
-        self.scratch.save(rows.select(*self.KEY, "doc").sortWithinPartitions(*self.KEY), f"run-{self.made}")
         self.runs.append(f"run-{self.made}")
+        return self.scratch.save(rows.select(*self.KEY, "doc", "owners", "old_doc").sortWithinPartitions(*self.KEY), self.runs[-1])
 
     def compact(self) -> None:
         """Merges all runs into one; the first owner of each segment stays."""
         old = list(self.runs)
-        merged = self.history().groupBy(*self.KEY).agg(F.min("doc").alias("doc"))
+        merged = self.history().withColumns({"owners": F.lit(1).cast("long"), "old_doc": F.lit(None).cast("long")}).repartition(*self.KEY)
         self.runs = []
         self._write(merged)
         for name in old:
@@ -145,9 +145,8 @@ class WindowIndex:
             fields = [("p", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
             for rows in batches:
                 ids, texts = rows.column(0), rows.column(1).to_pylist()
-                docs = [space_words(x) for x in texts]
                 keys = [_text_key(x) for x in texts]
-                for first, part in _chunks(docs):
+                for first, part in word_chunks(texts, space_words):
                     found = make.of(part)
                     offsets = np.searchsorted(found["owner"], np.arange(len(part) + 1))
                     columns = [pa.array(signed(found[k]) if found[k].dtype == np.uint64 else found[k]).cast(kind) for k, kind in fields]
@@ -158,60 +157,105 @@ class WindowIndex:
         schema = "doc long, t int, n_words long, words_sha256 string, segments array<struct<p int, n int, anchor long, s1 long, s2 long>>"
         return self.scratch.save(batch.select("doc", "text").mapInArrow(run, schema), name)
 
-    def windows(self, corpus: DataFrame, anchors: np.ndarray) -> DataFrame:
-        """Windows (w1, w2, doc, t, p) of the segments whose anchors are in the set."""
-        held = self.spark.sparkContext.broadcast(np.packbits(anchors))
+    def owners(self, segments: DataFrame, anchors: np.ndarray) -> np.ndarray:
+        """A set of fixed size of the first owners' segments (anchor, s1, doc) whose anchors are in the set."""
+        held, bits = self.spark.sparkContext.broadcast(np.packbits(anchors)), self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                anchor, s1, doc = (rows.column(k).to_numpy() for k in range(3))
+                chosen = inside(held.value, anchor, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(_owned(s1[chosen], doc[chosen])))], names=["key"])
+
+        return fixed_set(segments.select("anchor", "s1", "doc").mapInArrow(run, "key long"), "key", bits)
+
+    def windows(self, corpus: DataFrame, anchors: np.ndarray, owners: np.ndarray, again: np.ndarray | None = None) -> DataFrame:
+        """Windows of the segments whose anchors are in one set, and whose first owners are in the other: w1 alone, or,
+        of the w1 in a third set, w1, w2, doc, t, p."""
+        held = self.spark.sparkContext.broadcast(tuple(None if x is None else np.packbits(x) for x in (anchors, owners, again)))
         window, gram, bits = self.window, self.gram, self.bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            make, wanted = Segments(window, gram), np.unpackbits(held.value).astype(bool)
+            make, (wanted, first_owned, seen) = Segments(window, gram), held.value
             for rows in batches:
                 ids, texts = rows.column(0).to_numpy(), rows.column(1).to_pylist()
-                docs = [space_words(x) for x in texts]
-                for first, part in _chunks(docs):
+                for first, part in word_chunks(texts, space_words):
                     found = make.of(part)
-                    chosen = np.flatnonzero(wanted[_bit(found["anchor"], bits)])
+                    mine = _owned(found["s1"], ids[first + found["owner"]])
+                    chosen = np.flatnonzero(inside(wanted, found["anchor"], bits) & inside(first_owned, mine, bits))
                     if not len(chosen):
                         continue
                     owner, p, w1, w2 = make.windows(found, chosen)
+                    if seen is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(w1))], names=["w1"])
+                        continue
+                    kept = inside(seen, w1, WINDOW_BITS)
+                    owner, p, w1, w2 = owner[kept], p[kept], w1[kept], w2[kept]
                     keys = np.zeros(len(part), np.int32)
                     for i in np.unique(owner).tolist():
                         keys[i] = _text_key(texts[first + i])
                     yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), pa.array(ids[first + owner]), pa.array(keys[owner]), pa.array(p, pa.int32())], names=["w1", "w2", "doc", "t", "p"])
 
-        return corpus.select("doc", "text").mapInArrow(run, "w1 long, w2 long, doc long, t int, p int")
+        return corpus.select("doc", "text").mapInArrow(run, "w1 long" if again is None else "w1 long, w2 long, doc long, t int, p int")
+
+    def among(self, scanned: DataFrame, wanted: np.ndarray) -> DataFrame:
+        """Segments (doc, t, p, n, anchor, s1, s2) of the scanned documents whose s1 is in the set."""
+        held = self.spark.sparkContext.broadcast(np.packbits(wanted))
+        bits = self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                lists = rows.column("segments")
+                flat, row = lists.flatten(), np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
+                at = np.flatnonzero(inside(held.value, flat.field("s1").to_numpy(), bits))
+                take, of = pa.array(at), pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([rows.column("doc").take(of), rows.column("t").take(of), *(flat.field(k).take(take) for k in ("p", "n", "anchor", "s1", "s2"))], names=["doc", "t", "p", "n", "anchor", "s1", "s2"])
+
+        return scanned.select("doc", "t", "segments").where(F.size("segments") > 0).mapInArrow(run, "doc long, t int, p int, n int, anchor long, s1 long, s2 long")
 
     def add(self, batch: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Takes in a batch (doc, text). corpus: the batch and all earlier ones, as verification reads their texts again.
 
         Returns the scanned documents, and spans of covered windows: doc, t, p (first window), n (windows).
         """
-        name = f"scan-{self.made + 1}"
-        scanned = self.scan(batch, name)
-        rows = scanned.where(F.size("segments") > 0).select("doc", "t", F.explode("segments").alias("x")).select("doc", "t", "x.*")
+        k = self.made + 1
+        scanned = self.scan(batch, f"scan-{k}")
+        rows = scanned.where(F.size("segments") > 0).select("doc", F.explode("segments").alias("x")).select("doc", "x.anchor", "x.s1", "x.s2")
         own = rows.groupBy(*self.KEY).agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("owners"))
-        old = self.history().groupBy(*self.KEY).agg(F.min("doc").alias("old_doc")) if len(self.runs) > 1 else self.history().withColumnRenamed("doc", "old_doc")
-        known = self.scratch.save(own.join(old, self.KEY, "left"), f"known-{self.made + 1}")
+        old = self.history().withColumnRenamed("doc", "old_doc")
+        later = bool(self.runs)
+        # the merge join; its result is the batch's run
+        known = self._write(own.join(old, self.KEY, "left") if later else own.withColumn("old_doc", F.lit(None).cast("long")))
         first = known.where("old_doc is not null or owners > 1").select(*self.KEY, F.least("doc", "old_doc").alias("first"))
-        whole = rows.join(first, self.KEY).where("first < doc").select("doc", "t", "p", "n")
+        whole = self.among(scanned, fixed_set(first, "s1", self.bits)).join(first, self.KEY).where("first < doc").select("doc", "t", "p", "n")
         # anchors with different segments, one of them new
         fresh = known.where("old_doc is null").groupBy("anchor").agg(F.count(F.lit(1)).alias("fresh"))
-        if self.runs:
+        if later:
             past = old.groupBy("anchor").agg(F.count(F.lit(1)).alias("past"))
             mixed = fresh.join(past, "anchor", "left").where("fresh > 1 or past > 0").select("anchor")
+            holders = known.select("anchor", "s1", "doc").unionByName(old.select("anchor", "s1", F.col("old_doc").alias("doc")))
         else:
             mixed = fresh.where("fresh > 1").select("anchor")
+            holders = known.select("anchor", "s1", "doc")
         anchors = fixed_set(mixed, "anchor", self.bits)
-        w = self.scratch.save(self.windows(corpus, anchors), f"windows-{self.made + 1}")
+        owners = self.owners(holders, anchors)
+        twice = self.windows(corpus, anchors, owners).groupBy("w1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = fixed_set(twice, "w1", WINDOW_BITS)
+        w = self.scratch.save(self.windows(corpus, anchors, owners, again), f"windows-{k}")
         least = w.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
         single = w.join(least, ["w1", "w2"]).where("first < doc").select("doc", "t", "p", F.lit(1).alias("n"))
         spans = whole.unionByName(single)
-        if self.runs:  # the history was judged when it came
+        if later:  # the history was judged when it came
             spans = spans.join(scanned.select("doc", "t").distinct(), ["doc", "t"], "left_semi")
-        self._write(known.where("old_doc is null"))
+        spans = self.scratch.save(spans, f"spans-{k}")
+        docs = self.scratch.save(scanned.drop("segments"), f"docs-{k}")
+        for name in (f"scan-{k}", f"windows-{k}"):
+            self.scratch.drop(name)
+        del rows, own, known, first, whole, fresh, mixed, holders, twice, w, least, single, scanned, old
+        self.scratch.release()
         if len(self.runs) > self.most_runs:
             self.compact()
-        return scanned, spans
+        return docs, spans
 
 
 def cover(n_words: int, spans: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -223,10 +267,6 @@ def cover(n_words: int, spans: list[tuple[int, int]], window: int) -> np.ndarray
     return np.cumsum(edge[:-1]) > 0
 
 
-def _bit_of_doc(rows: pa.RecordBatch, wanted: np.ndarray) -> pa.Array:
-    return pa.array(wanted[_bit(rows.column("h").to_numpy(), DOC_BITS)])
-
-
 def find_spans(documents: DataFrame, window: int = WINDOW, batches: int = 2, gram: int = GRAM, bits: int = BITS, most_runs: int = MOST_RUNS) -> tuple[DataFrame, DataFrame, Scratch]:
     """Takes documents (doc, text) in by batches of ascending ids: the scanned documents, and spans by document (doc, t, spans)."""
     cuts = sorted(set(documents.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])) if batches > 1 else []
@@ -246,10 +286,9 @@ def _keyed(documents: DataFrame, touched: np.ndarray | None = None) -> DataFrame
     held = documents.sparkSession.sparkContext.broadcast(None if touched is None else np.packbits(touched))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if held.value is None else np.unpackbits(held.value).astype(bool)
         for rows in batches:
-            if wanted is not None:
-                rows = rows.filter(_bit_of_doc(rows, wanted))
+            if held.value is not None:
+                rows = rows.filter(pa.array(inside(held.value, rows.column("h").to_numpy(), DOC_BITS)))
             keys = pa.array([_text_key(x) for x in rows.column(1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([rows.column(0), keys, rows.column(1)], names=["doc", "t", "text"])
 
@@ -295,7 +334,7 @@ def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     scanned, by_doc, _ = find_spans(docs, window, **options)
     touched = fixed_set(by_doc.select(F.xxhash64("doc").alias("h")), "h", DOC_BITS)
     edited = _apply(_keyed(docs, touched).join(by_doc, ["doc", "t"]), window, False).drop("kept_text").dropDuplicates(["doc", "t"])
-    joined = scanned.drop("segments").join(edited, ["doc", "t"], "left")
+    joined = scanned.join(edited, ["doc", "t"], "left")
     return joined.select(_id(doc_id), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "words_sha256").alias("kept_sha256"))
 
 
