@@ -22,7 +22,7 @@ def tables(spark, tmp_path_factory):
             body = ["||"] * 60 + body[:20]
         lines = [" ".join(body[:60]), "every site has this line of text", " ".join(body[60:])]
         docs.append((i, "\n".join(lines), "en", f"s{i % 12}", 0))
-        if i % 2:
+        if i % 3:  # of all kinds
             labels.append((i, int(not junk), int(toxic)))
     for k in range(20):  # near copies of document 1, and benchmark passages
         body = docs[1][1].split(" ")
