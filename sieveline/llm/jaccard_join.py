@@ -1,7 +1,7 @@
 """N-gram Jaccard similarity join by vertical partitioning.
 
 Each document is the set of its ``n``-word shingles. Two documents link when 100 * |A & B| >= percent * |A | B|;
-the join is exact, and gives each document its number of shingles and its component.
+the join is exact, and gives each document its number of shingles, its component, its class and its number of links.
 
 1. A sketch of fixed size counts all shingles; rare ones come first in the global order (ties by hash). Any
    total order gives the right result, so the sketch's error costs time only.
@@ -15,6 +15,9 @@ the join is exact, and gives each document its number of shingles and its compon
 4. The order is cut into ``fragments``. For each pair and fragment the overlap is counted by itself, on rows that
    hold one fragment of a set, and the counts are summed per pair.
 5. Components are found by passing on the least label along links, with pointer jumps, in Spark.
+6. Links are counted last. All of them lie within components, so the classes of a component are dealt into blocks,
+   and every two blocks of it are compared by a product of their matrices of shared shingles. Only counts leave a
+   block; the pairs of a group of k near copies are all judged, and never become rows.
 
 Null texts and texts without words have an empty set and link with nothing. Fewer words than ``n`` are one
 shingle. Null ids are never the smallest of a component unless all are null; repeated rows are linked by their
@@ -40,6 +43,8 @@ SKETCH_BITS, PART_BITS, TOKEN_BITS, DOC_BITS = 22, 12, 25, 22
 STAR_ROUNDS = 2
 #: Labels of so many classes (some 5 MB) are broadcast; more are joined by shuffle.
 BROADCAST_LABELS = 100_000
+#: Classes and shingles of a block, about, and the shared shingles that one product of matrices takes.
+BLOCK_CLASSES, BLOCK_TOKENS, BLOCK_WIDTH = 512, 1_000_000, 4096
 
 
 class Shingles:
@@ -193,6 +198,48 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def linked(owner: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of left (rows) and right (columns) link; owner and tokens: the elements of all sets."""
+    _, slot, n = np.unique(tokens, return_inverse=True, return_counts=True)
+    # what one set alone has adds to no overlap
+    often = n > 1
+    keep = often[slot]
+    slot, owner = (np.cumsum(often) - 1)[slot[keep]], owner[keep]
+    order = np.argsort(slot, kind="stable")
+    slot, owner = slot[order], owner[order]
+    common = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, int(often.sum()), BLOCK_WIDTH):
+        a, b = np.searchsorted(slot, (low, low + BLOCK_WIDTH))
+        has = np.zeros((len(sizes), BLOCK_WIDTH), np.float32)
+        has[owner[a:b], slot[a:b] - low] = 1
+        common += (has[left] @ has[right].T).astype(np.int64)
+    return common * 100 >= (sizes[left][:, None] + sizes[right][None, :] - common) * percent
+
+
+def block_links(percent: int):
+    """For rows (i, j, block, node, copies, tokens) of blocks i and j of a component: node, n, the documents of classes of the other block, or of the same where i = j, that a class links with."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        seen: dict[bytes, int] = {}
+        # copies of a set may have rows of their own
+        rows = rows.take(pa.array([k for k, x in enumerate(rows.column("node").to_pylist()) if seen.setdefault(x, k) == k], pa.int64())).combine_chunks()
+        block, copies = rows.column("block").to_numpy(), rows.column("copies").to_numpy()
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        lists = pa.concat_arrays(rows.column("tokens").chunks)
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        links = linked(np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(), sizes, left, right, percent)
+        if i == j:
+            np.fill_diagonal(links, False)
+        count = np.zeros(len(sizes), np.int64)
+        count[left] += links @ copies[right]
+        if i != j:
+            count[right] += links.T @ copies[left]
+        return pa.table({"node": rows.column("node"), "n": pa.array(count)})
+
+    return run
+
+
 class Join:
     """The steps of one join; scratch tables are in the shared folder."""
 
@@ -240,7 +287,7 @@ class Join:
         return found
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-        """The scanned documents, links between classes, and labels of classes that have links."""
+        """The scanned documents, as many links between classes as join the components, and labels of classes that have links."""
         scanned = self.save(scan(self.documents, self.sketch, self.n, self.percent, self.doc_id, self.text))
         classes = self.save(scanned.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("shown").alias("shown"), F.first("parity").alias("parity")))
         self.parities = self.save(classes.select("node", "parity"))
@@ -278,11 +325,32 @@ class Join:
             labels = components(found)
         return scanned, found, labels
 
+    def counts(self, scanned: DataFrame, labels: DataFrame) -> DataFrame:
+        """node, n: with how many documents of other classes each class of a component links."""
+        classes = scanned.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"))
+        members = self.save(classes.join(self.small(labels), "node"))
+        blocks = F.greatest(F.ceil(F.col("k") / BLOCK_CLASSES), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+        groups = members.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("tokens"), F.sum("copies").alias("all")).select("label", "k", "all", blocks.alias("blocks"))
+        members = self.save(members.join(self.small(self.save(groups)), "label"))
+        # two classes are a component by their one link
+        two = members.where("k = 2").select("node", (F.col("all") - F.col("copies")).alias("n"))
+        more = members.where("k > 2").select("node", "label", "copies", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"))
+        docs = fixed_set(members.where("k > 2").select(F.xxhash64("doc").alias("h")), "h", DOC_BITS)
+        rows = fragment_rows(self.documents, docs, self.sketch, [], self.n, self.doc_id, self.text).select("node", "tokens")
+        dealt = rows.join(self.small(more), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "tokens")
+        found = dealt.groupBy("label", "i", "j").applyInArrow(block_links(self.percent), "node binary, n long")
+        counted = self.save(found.unionByName(two).groupBy("node").agg(F.sum("n").alias("n")))
+        self.drop_from(self.saves - 3, self.saves - 1)
+        return counted
+
+    def small(self, rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_LABELS else rows
+
     def labelled(self, posts: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
             return posts.withColumn("label", F.col("node"))
-        small = labels.count() <= BROADCAST_LABELS
-        return posts.join(F.broadcast(labels) if small else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return posts.join(self.small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def twos(self, posts: DataFrame) -> DataFrame:
         """The pairs that shingles of just two classes make; no list is longer, so an aggregate gives them."""
@@ -312,19 +380,38 @@ class Join:
         return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b"), "size", "other_size", "doc", "other_doc").dropDuplicates(["a", "b"]), self.saves
 
 
+def _named(scanned: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """node, copies, class (least id of the equal sets), component (least id reachable by links)."""
+    if labels is None:
+        labels = scanned.select("node", F.col("node").alias("label")).limit(0)
+    per_node = scanned.where("node is not null").groupBy("node").agg(F.min("doc").alias("class"), F.count(F.lit(1)).alias("copies"))
+    named = per_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("class").alias("component"))
+    return named.join(least, "label").select("node", "copies", "class", "component")
+
+
 def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
     scanned, _, labels = Join(documents, n, percent, fragments, doc_id, text).run()
     docs = scanned.select("doc", "size", "node")
-    if labels is None:
-        labels = scanned.select("node", F.col("node").alias("label")).limit(0)
-    per_node = docs.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"))
-    named = per_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component"))
-    by_node = named.join(least, "label").select("node", "component")
+    by_node = _named(docs, labels).select("node", "component")
     return docs.join(by_node, "node", "left").select(F.col("doc").alias(doc_id), F.col("size").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
+def cluster_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
+    """As cluster(), with class_id (least doc_id with an equal set) and n_links (documents it links with, those of its class too)."""
+    join = Join(documents, n, percent, fragments, doc_id, text)
+    scanned, _, labels = join.run()
+    docs = scanned.select("doc", "size", "node")
+    by_node = _named(docs, labels)
+    if labels is None:
+        by_node = by_node.withColumn("n", F.lit(None).cast("long"))
+    else:
+        by_node = by_node.join(join.counts(scanned, labels), "node", "left")
+    links = F.coalesce(F.col("copies") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).alias("n_links")
+    return docs.join(by_node, "node", "left").select(F.col("doc").alias(doc_id), F.col("size").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("class", "doc").alias("class_id"), links)
+
+
 def brute_force(documents: list[tuple[int, str | None]], n: int = N, percent: int = PERCENT) -> list[tuple[int, int, int]]:
     """doc_id, n_shingles, component_id, from all pairs."""
     sets = []

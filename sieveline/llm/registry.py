@@ -53,7 +53,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     worker_path(spark)
-    return jaccard_join.cluster(read(spark, sf_dir, "documents"))
+    return jaccard_join.cluster_links(read(spark, sf_dir, "documents"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,6 +241,38 @@ def test_jaccard_chain_and_edges(spark):
     assert rows(jaccard_join.cluster(frame(spark, twice))) == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, 1), (3, 0, 3), (4, 0, 4)], key=repr)
 
 
+def all_links(data, n=3, percent=90):
+    """doc_id, class_id, n_links, from all pairs."""
+    sets = []
+    for _, text in data:
+        w = jaccard_join.lower_space_words(text)
+        sets.append(frozenset({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else ()))
+    out = []
+    for i, (doc, _) in enumerate(data):
+        same = [d for (d, _), s in zip(data, sets, strict=True) if s == sets[i] and d is not None] if sets[i] else [doc]
+        links = sum(bool(sets[i] and s) and 100 * len(sets[i] & s) >= percent * len(sets[i] | s) for k, s in enumerate(sets) if k != i)
+        out.append((doc, min(same, default=None), links))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, 512), (3, 90, 4), (5, 80, 3), (1, 50, 512)])
+def test_jaccard_counts_all_links(spark, monkeypatch, n, percent, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", block)
+    base = words(9, 200)
+    group = [" ".join([*base[: 3 * k], f"g{k}", *base[3 * k + 1 :]]) for k in range(40)]
+    data = [*corpus(), *((900 + k, t) for k, t in enumerate(group)), (None, group[0]), (899, group[1].upper()), (None, None)]
+    got = jaccard_join.cluster_links(frame(spark, data), n=n, percent=percent)
+    assert rows(got.select("doc_id", "class_id", "n_links")) == all_links(data, n, percent)
+    assert rows(got.select("doc_id", "n_shingles", "component_id")) == rows(jaccard_join.cluster(frame(spark, data), n=n, percent=percent))
+    if (n, percent) == (3, 90):
+        assert got.where("doc_id = 905").first().n_links == 41  # 39 near copies, two of them twice
+
+
+def test_jaccard_links_of_no_rows_and_none(spark):
+    assert jaccard_join.cluster_links(empty(spark)).count() == 0
+    assert rows(jaccard_join.cluster_links(frame(spark, [(1, "a b c d"), (2, "x y z"), (3, None)]))) == [(1, 2, 1, 1, 0), (2, 1, 2, 2, 0), (3, 0, 3, 3, 0)]
+
+
 # ------------------------------------------------------------------ 9
 def test_packing(spark):
     from tokenizers import Tokenizer
