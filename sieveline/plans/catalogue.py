@@ -196,6 +196,13 @@ def guarded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", tx.guard_cell(F.concat(start, F.substring("text", 1, 40))).alias("cell"))
 
 
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || text WHEN doc_id % 3 = 1 THEN '-' || text ELSE text END AS text FROM documents)")
+def guarded_cells_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As guarded_cells, on whole texts."""
+    start = F.when(F.col("doc_id") % 3 == 0, F.lit("=")).when(F.col("doc_id") % 3 == 1, F.lit("-")).otherwise(F.lit(""))
+    return _documents(spark, sf_dir).select("doc_id", tx.guard_cell(F.concat(start, "text")).alias("cell"))
+
+
 ROMAN = {"the": "TE", "of": "O", "que": "QU", "und": "UN"}
 ROMAN_SQL = "coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in ROMAN.items()) + "}[lower(t)], t)"
 
@@ -346,30 +353,38 @@ def coverage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- audits
-INPUTS_SQL = f"""rows AS (SELECT {UID} AS uid, 'raw' AS tier, 'a' AS path, doc_id AS line, coalesce({LABEL_SQL}, 'unknown') AS label, '' AS verdict, 'https://e.org/' || doc_id || '/#x' AS url, left(text, 50) AS body FROM documents LEFT JOIN labels USING (doc_id)
-UNION ALL SELECT {UID}, 'enriched', 'b', doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE coalesce({LABEL_SQL}, 'unknown') END, CASE WHEN doc_id % 7 = 0 THEN 'Fake' ELSE '' END, 'https://e.org/' || CASE WHEN doc_id % 11 = 0 THEN -1 ELSE doc_id END, left(text, 60) FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 2 = 0
-UNION ALL SELECT {UID}, 'enriched', 'c', doc_id, coalesce({LABEL_SQL}, 'unknown'), '', 'https://e.org/' || doc_id, left(text, 70) FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 26 = 0)"""
+def inputs_sql(raw: str, better: str, twice: str) -> str:
+    """The tiers of the documents, with these bodies."""
+    return f"""rows AS (SELECT {UID} AS uid, 'raw' AS tier, 'a' AS path, doc_id AS line, coalesce({LABEL_SQL}, 'unknown') AS label, '' AS verdict, 'https://e.org/' || doc_id || '/#x' AS url, {raw} AS body FROM documents LEFT JOIN labels USING (doc_id)
+UNION ALL SELECT {UID}, 'enriched', 'b', doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE coalesce({LABEL_SQL}, 'unknown') END, CASE WHEN doc_id % 7 = 0 THEN 'Fake' ELSE '' END, 'https://e.org/' || CASE WHEN doc_id % 11 = 0 THEN -1 ELSE doc_id END, {better} FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 2 = 0
+UNION ALL SELECT {UID}, 'enriched', 'c', doc_id, coalesce({LABEL_SQL}, 'unknown'), '', 'https://e.org/' || doc_id, {twice} FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 26 = 0)"""
+
+
+INPUTS_SQL = inputs_sql("left(text, 50)", "left(text, 60)", "left(text, 70)")
+#: Whole texts: the better tier appends a mark, and of its second variants every other differs in the last character.
+WHOLE_INPUTS_SQL = inputs_sql("text", "text || '#'", "text || CASE WHEN doc_id % 52 = 0 THEN '+' ELSE '#' END")
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _inputs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text").join(_labels(spark, sf_dir).select("doc_id", F.col("label").alias("own")), "doc_id", "left").withColumn("own", F.coalesce("own", F.lit("unknown")))
     uid, site = tx.uid("source", "doc_id").alias("uid"), F.lit("https://e.org/")
 
-    def tier(rows: DataFrame, name: str, path: str, label: Column, verdict: Column, url: Column, chars: int) -> DataFrame:
-        return rows.select(uid, F.lit(name).alias("tier"), F.lit(path).alias("path"), F.col("doc_id").alias("line"), label.alias("label"), verdict.alias("verdict"), url.alias("url"), F.substring("text", 1, chars).alias("body"))
+    def tier(rows: DataFrame, name: str, path: str, label: Column, verdict: Column, url: Column, chars: int, end: Column) -> DataFrame:
+        return rows.select(uid, F.lit(name).alias("tier"), F.lit(path).alias("path"), F.col("doc_id").alias("line"), label.alias("label"), verdict.alias("verdict"), url.alias("url"), (F.concat("text", end) if whole else F.substring("text", 1, chars)).alias("body"))
 
     own, none, id_ = F.col("own"), F.lit(""), F.col("doc_id")
-    raw = tier(docs, "raw", "a", own, none, F.concat(site, id_, F.lit("/#x")), 50)
-    better = tier(docs.where("doc_id % 2 = 0"), "enriched", "b", F.when(id_ % 5 == 0, "unknown").otherwise(own), F.when(id_ % 7 == 0, "Fake").otherwise(""), F.concat(site, F.when(id_ % 11 == 0, -1).otherwise(id_)), 60)
-    twice = tier(docs.where("doc_id % 26 = 0"), "enriched", "c", own, none, F.concat(site, id_), 70)
+    raw = tier(docs, "raw", "a", own, none, F.concat(site, id_, F.lit("/#x")), 50, none)
+    better = tier(docs.where("doc_id % 2 = 0"), "enriched", "b", F.when(id_ % 5 == 0, "unknown").otherwise(own), F.when(id_ % 7 == 0, "Fake").otherwise(""), F.concat(site, F.when(id_ % 11 == 0, -1).otherwise(id_)), 60, F.lit("#"))
+    twice = tier(docs.where("doc_id % 26 = 0"), "enriched", "c", own, none, F.concat(site, id_), 70, F.when(id_ % 52 == 0, "+").otherwise("#"))
     return raw.unionByName(better).unionByName(twice)
 
 
-SELECT_SQL = f"""{INPUTS_SQL}, m AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS plain, CASE WHEN verdict = 'Fake' THEN 'fake' END AS vl, CASE WHEN label <> 'unknown' THEN label END AS kl,
+SELECTION_SQL = """m AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS plain, CASE WHEN verdict = 'Fake' THEN 'fake' END AS vl, CASE WHEN label <> 'unknown' THEN label END AS kl,
   max(tier = 'enriched') OVER (PARTITION BY uid) AS top FROM rows),
 g AS (SELECT uid, count(DISTINCT plain) AS urls, count(DISTINCT CASE WHEN NOT top OR tier = 'enriched' THEN body END) AS bodies, count(DISTINCT kl) AS nk, count(*) AS variants,
   len(list_distinct(list_concat(coalesce(list(kl) FILTER (WHERE kl IS NOT NULL), []), coalesce(list(vl) FILTER (WHERE vl IS NOT NULL), [])))) AS ks, arg_min(label, (path, line)) FILTER (WHERE NOT top OR tier = 'enriched') AS wl, min((path, line)) FILTER (WHERE NOT top OR tier = 'enriched') AS win FROM m GROUP BY uid),
 j AS (SELECT *, list_filter([CASE WHEN bodies > 1 THEN 'ambiguous_records_at_winning_tier' END, CASE WHEN ks > 1 THEN 'conflicting_labels_or_verdicts' END, CASE WHEN urls > 1 THEN 'conflicting_provenance_urls' END, CASE WHEN nk > 0 AND wl = 'unknown' THEN 'enrichment_would_discard_known_label' END], lambda x: x IS NOT NULL) AS reasons FROM g)"""
+SELECT_SQL, WHOLE_SELECT_SQL = f"{INPUTS_SQL}, {SELECTION_SQL}", f"{WHOLE_INPUTS_SQL}, {SELECTION_SQL}"
 
 
 @query(f"WITH {SELECT_SQL} SELECT rows.uid, tier, label FROM rows JOIN j ON rows.uid = j.uid AND (path, line) = win WHERE len(reasons) = 0")
@@ -382,10 +397,22 @@ def input_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.select_inputs(_inputs(spark, sf_dir), ["body"])[1].select("uid", F.array_join("reasons", ",").alias("reasons"), "variants")
 
 
+@query(f"WITH {WHOLE_SELECT_SQL} SELECT rows.uid, tier, label FROM rows JOIN j ON rows.uid = j.uid AND (path, line) = win WHERE len(reasons) = 0")
+def selected_inputs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As selected_inputs, on whole texts."""
+    return audit.select_inputs(_inputs(spark, sf_dir, whole=True), ["body"])[0].select("uid", "tier", "label")
+
+
+@query(f"WITH {WHOLE_SELECT_SQL} SELECT uid, array_to_string(reasons, ',') AS reasons, variants FROM j WHERE len(reasons) > 0")
+def input_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As input_conflicts, on whole texts."""
+    return audit.select_inputs(_inputs(spark, sf_dir, whole=True), ["body"])[1].select("uid", F.array_join("reasons", ",").alias("reasons"), "variants")
+
+
 @query()
 def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir).join(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    image = F.struct(F.lit("").alias("url"), F.concat(F.lit("img/"), F.col("doc_id") % 400).alias("local_path"), F.when(F.col("doc_id") % 9 == 0, "annotated").otherwise("creative").alias("role"), F.lit("").alias("sha256"), F.substring("text", 1, 200).alias("ocr_text"))
+    image = F.struct(F.lit("").alias("url"), F.concat(F.lit("img/"), F.col("doc_id") % 400).alias("local_path"), F.when(F.col("doc_id") % 9 == 0, "annotated").otherwise("creative").alias("role"), F.lit("").alias("sha256"), F.col("text").alias("ocr_text"))
     records = rows.select(tx.uid("source", "doc_id").alias("uid"), "label", F.substring_index("text", "\n", 1).alias("title"), F.lit("").alias("claim_text"), F.array(image).alias("images"))
     files = spark.range(300).select(F.concat(F.lit("img/"), "id").alias("local_path"), F.sha2((F.col("id") % 290).cast("string"), 256).alias("digest"), (F.col("id") % 50).alias("bytes"))
     return audit.issue_counts(audit.audit_records(records, files))
