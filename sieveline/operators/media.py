@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 OVERLAP, LEAST_CHARS = 120, 160
+#: Characters of a cell by which findings meet segments.
+CELL = 1024
 
 
 def chunk_spans(text: str, max_chars: int = 1800) -> Iterator[tuple[int, int]]:
@@ -61,8 +63,14 @@ def positioned(segments: DataFrame, key: str, ordinal: str, text: str) -> DataFr
 
 def overlapping(findings: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """Least start and most end time of the segments (left, right, start, end) that each finding (from_char, to_char) meets."""
-    other = segments.select(F.col(key).alias("__key"), "left", "right", F.col("start").alias("__start"), F.col("end").alias("__end"))
-    met = findings.join(other, (findings[key] == F.col("__key")) & (F.col("left") < F.col("to_char")) & (F.col("right") > F.col("from_char")))
+    # both are dealt over the cells they touch, so a key's findings meet near segments alone
+    def cells(first: str, end: str) -> Column:
+        low = F.floor(F.col(first) / CELL)
+        return F.explode(F.sequence(low, F.greatest(low, F.floor((F.col(end) - 1) / CELL)))).alias("__cell")
+
+    other = segments.select(F.col(key).alias("__key"), "left", "right", F.col("start").alias("__start"), F.col("end").alias("__end"), cells("left", "right"))
+    dealt = findings.select("*", cells("from_char", "to_char")).withColumnRenamed("__cell", "__own")
+    met = dealt.join(other, (dealt[key] == F.col("__key")) & (F.col("__own") == F.col("__cell")) & (F.col("left") < F.col("to_char")) & (F.col("right") > F.col("from_char")))
     return met.groupBy(*findings.columns).agg(F.min("__start").alias("time_start"), F.max("__end").alias("time_end"))
 
 

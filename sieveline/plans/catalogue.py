@@ -147,6 +147,13 @@ def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), bits.alias("signature"))
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The turns, and their places in the conversations."""
+    turns = read(spark, sf_dir, "conversations")
+    segments = media.positioned(turns, "conv_id", "turn", "text").select("conv_id", "left", "right", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"))
+    return turns, segments
+
+
 # ---------------------------------------------------------------- projections
 @query(f"SELECT doc_id, {UID} AS uid FROM documents")
 def uid_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +187,12 @@ def assemble_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.assemble(["role", "text"], max_chars=120).alias("assembled"))
 
 
+@query("SELECT conv_id, turn, left(concat_ws(' [SEP] ', nullif(trim(role), ''), nullif(trim(text), '')), 4000) AS assembled FROM conversations")
+def assemble_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As assemble_text, with the limit of the operator."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.assemble(["role", "text"]).alias("assembled"))
+
+
 @query("SELECT page_id, substr(sha256(url), 1, 24) AS cache_key, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS plain_url FROM pages")
 def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", src.cache_key("url").alias("cache_key"), audit.plain_url("url").alias("plain_url"))
@@ -520,12 +533,20 @@ SEGMENTS_SQL = "s AS (SELECT conv_id, turn, coalesce(sum(length(text) + 1) OVER
 
 @query(f"WITH {SEGMENTS_SQL}, f AS (SELECT DISTINCT conv_id, 100 * k AS a, 100 * k + 250 AS b FROM conversations, range(0, 4) x(k)) SELECT f.conv_id, CAST(a AS BIGINT) AS from_char, CAST(b AS BIGINT) AS to_char, CAST(min(turn) AS DOUBLE) AS time_start, CAST(max(turn) + 1 AS DOUBLE) AS time_end FROM f JOIN s ON f.conv_id = s.conv_id AND l < b AND r > a GROUP BY ALL")
 def segment_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read(spark, sf_dir, "conversations")
-    segments = media.positioned(turns, "conv_id", "turn", "text").select("conv_id", "left", "right", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"))
+    turns, segments = _segments(spark, sf_dir)
     findings = turns.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.struct(F.lit(100 * k).cast("long").alias("from_char"), F.lit(100 * k + 250).cast("long").alias("to_char")) for k in range(4)])).alias("x")).select("conv_id", "x.*")
     return media.overlapping(findings, segments, "conv_id")
 
 
+@query(f"WITH {SEGMENTS_SQL}, f AS (SELECT conv_id, 100 * k AS a, 100 * k + 250 AS b FROM (SELECT conv_id, unnest(range(0, greatest(CAST(max(r) + 99 AS BIGINT) // 100, 1))) AS k FROM s GROUP BY conv_id)) SELECT f.conv_id, CAST(a AS BIGINT) AS from_char, CAST(b AS BIGINT) AS to_char, CAST(min(turn) AS DOUBLE) AS time_start, CAST(max(turn) + 1 AS DOUBLE) AS time_end FROM f JOIN s ON f.conv_id = s.conv_id AND l < b AND r > a GROUP BY ALL")
+def segment_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As segment_overlap, with findings over the whole length of each conversation."""
+    _, segments = _segments(spark, sf_dir)
+    last = F.greatest(F.ceil(F.max("right") / 100) - 1, F.lit(0))
+    findings = segments.groupBy("conv_id").agg(last.alias("last")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") * 100, F.lit(100).cast("long"))).alias("from_char"))
+    return media.overlapping(findings.withColumn("to_char", F.col("from_char") + 250), segments, "conv_id")
+
+
 @query("WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS nth FROM documents WHERE lang IN ('en', 'de', 'fr')) SELECT lang, doc_id, CAST(nth AS INTEGER) AS nth, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END::BIGINT AS place FROM n")
 def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.interleave(_documents(spark, sf_dir).select("lang", "doc_id"), "lang", "doc_id", ["en", "de", "fr"])

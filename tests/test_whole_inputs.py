@@ -42,3 +42,14 @@ def test_inputs_conflict_by_their_last_characters(spark, tables):
 def test_audit_reads_whole_texts(spark, tables):
     counts = {tuple(r)[0]: tuple(r)[1:] for r in catalogue.QUERIES["audit_issues"](spark, tables).collect()}
     assert "possible_label_marker_in_ocr" in counts, counts
+
+
+def test_turns_are_read_to_their_ends(spark, tables):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", None if (c, t) == (1, 2) else "" if (c, t) == (2, 0) else f"turn {t} " * (30 + c)) for c in range(3) for t in range(9)]
+    spark.createDataFrame([*turns, (7, 0, " ", "")], "conv_id long, turn long, role string, text string").write.parquet(f"{tables}/conversations.parquet")
+    texts = {(c, t): x for c, t, x in both(spark, tables, "assemble_text_whole")}
+    assert max(map(len, texts.values())) > 200
+    found = both(spark, tables, "segment_overlap_whole")
+    assert max(end for c, _, _, _, end in found if c == 0) == 9.0  # the last turn is met
+    # four findings at the start, as before
+    assert {r for r in found if r[1] < 400 and r[0] < 3} == set(both(spark, tables, "segment_overlap"))
