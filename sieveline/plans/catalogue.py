@@ -142,8 +142,9 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y_true")), "doc_id").withColumn("y_pred", (F.col("score") >= 0.5).cast("int"))
 
 
-def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 32), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+def _signatures(spark: SparkSession, sf_dir: str, vector: Column) -> DataFrame:
+    """The signs of a vector of up to 64 components, the first at the top."""
+    bits = F.aggregate(F.transform(vector, lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), bits.alias("signature"))
 
 
@@ -303,7 +304,14 @@ def boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH b AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)
 SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(list_zip(x.bits, y.bits), lambda z: CASE WHEN z[1] = z[2] THEN 0 ELSE 1 END)) AS INTEGER) AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE distance <= 6""")
 def signature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.signature_pairs(_signatures(spark, sf_dir), most=6, bits=32)
+    return similarity.signature_pairs(_signatures(spark, sf_dir, F.slice("embedding", 1, 32)), most=6, bits=32)
+
+
+@query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)
+SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(list_zip(x.bits, y.bits), lambda z: CASE WHEN z[1] = z[2] THEN 0 ELSE 1 END)) AS INTEGER) AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE distance <= 6""")
+def signature_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As signature_pairs, by the signs of all 64 components."""
+    return similarity.signature_pairs(_signatures(spark, sf_dir, F.col("embedding")), most=6)
 
 
 @query("SELECT sha256(text) AS digest, count(DISTINCT doc_id) AS owners, min(doc_id) AS first FROM documents GROUP BY text HAVING count(DISTINCT doc_id) > 1")

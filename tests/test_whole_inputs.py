@@ -53,3 +53,13 @@ def test_turns_are_read_to_their_ends(spark, tables):
     assert max(end for c, _, _, _, end in found if c == 0) == 9.0  # the last turn is met
     # four findings at the start, as before
     assert {r for r in found if r[1] < 400 and r[0] < 3} == set(both(spark, tables, "segment_overlap"))
+
+
+def test_signatures_take_all_components(spark, tables):
+    base = [1.0 if i % 3 else -1.0 for i in range(64)]
+    half = base[:32] + [-x for x in base[32:]]
+    near = [-base[0], *base[1:40], -base[40], *base[41:63], -base[63]]
+    top = [-base[0], *base[1:]]
+    spark.createDataFrame(list(enumerate([base, half, near, base, top])), "vec_id long, embedding array<float>").write.parquet(f"{tables}/embeddings.parquet")
+    assert set(both(spark, tables, "signature_pairs_whole")) == {(0, 2, 3), (0, 3, 0), (0, 4, 1), (2, 3, 3), (2, 4, 2), (3, 4, 1)}
+    assert (0, 1, 0) in both(spark, tables, "signature_pairs")  # by the first half alone
