@@ -4,10 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before kept,
 documents; the last returns the packed pieces. run() writes each stage's result and reads it again.
 
 Documents that the quality classifier rejects go. Lines that stand on many sites are removed from the texts
-(a document stays, even if no line does). One document of each group of near copies stays, the one with the
-least id; rows with one id are one document. Documents that hold a passage of the benchmark go. The rest is
-packed. Null ids are never near copies of anything; null texts are rejected by the classifier. Further columns
-of the table pass through to the last stage but one.
+(a document stays, even if no line does). One row of each group of near copies stays, the one with the
+least id; null ids come last, and rows with one id and different texts are told apart. Documents that hold a
+passage of the benchmark go. The rest is packed. Null texts are rejected by the classifier. Further columns of
+the table pass through to the last stage but one.
 """
 
 from __future__ import annotations
@@ -35,10 +35,13 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     worker_path(spark)
-    groups = jaccard_join.cluster(docs, n=WORDS, percent=PERCENT)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one_each = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one_each.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    # by a key of the row, as ids may be null or stand on several texts
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    groups = jaccard_join.cluster(keyed, doc_id="__row", n=WORDS, percent=PERCENT).select("__row", "component_id").distinct()
+    ids = keyed.select("__row", "doc_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    first = groups.join(ids, "__row").groupBy("component_id").agg(best.alias("best")).select("best.__row")
+    return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,11 @@ def test_stages(spark, tables):
 
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() > 100
+
+
+def test_near_copies_go_by_rows(spark, tables):
+    a, b, c = (" ".join(words(900 + k, 80)) for k in range(3))
+    data = [(1, a), (2, a + " end"), (2, b), (None, a), (None, c), (None, c), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, tables).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, a), (2, b), (None, c), (3, "")], key=repr)
