@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,8 @@ U64 = np.uint64
 #: An odd multiplier; powers of it weigh the words of a rolling hash modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_2 = 0xC2B2AE3D27D4EB4F | 1
+BASE_3 = 0xD6E8FEB86659FD93 | 1
+BASE_4 = 0xA0761D6478BD642F | 1
 MASK = (1 << 64) - 1
 
 
@@ -24,12 +27,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one where a local session names none (tests). A cluster must name one."""
     given = spark.conf.get("spark.checkpoint.dir", None) or None
     context = spark.sparkContext
     if given is None:
         given = context.getCheckpointDir()
         if given is None:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             given = "file://" + tempfile.mkdtemp(prefix="sieveline-checkpoint-")
             context.setCheckpointDir(given)
     elif context.getCheckpointDir() is None:
@@ -98,7 +103,10 @@ def space_words(text: str | None) -> list[bytes]:
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bytes that part words, as blanks: those of [\x20\x09-\x0D]; then with A-Z in lower case; then all but alphanumeric ones and those above ASCII.
+SPACES = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+LOWER_SPACES = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def lower_space_words(text: str | None) -> list[bytes]:
@@ -108,7 +116,7 @@ def lower_space_words(text: str | None) -> list[bytes]:
 
 def alnum_words(text: str | None) -> list[bytes]:
     """Lower-cases A-Z and takes maximal runs of 0-9, a-z and all above ASCII."""
-    return text.encode("utf-8", "surrogatepass").translate(_ALNUM).split() if text else []
+    return text.encode("utf-8", "surrogatepass").translate(ALNUM).split() if text else []
 
 
 def word_chunks(texts: list[str | None], words_of: Callable[[str | None], list[bytes]], most: int = 200_000) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -123,6 +131,63 @@ def word_chunks(texts: list[str | None], words_of: Callable[[str | None], list[b
             first, part, n = i + 1, [], 0
 
 
+def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of the texts of a string column, of about ``most`` bytes each: place of the first, bytes, offsets of the texts in them (one more than texts)."""
+    column = column.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    first = 0
+    while first < len(column):
+        to = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        to = min(to, first + 20_000, len(column))
+        yield first, data[offsets[first] : offsets[to]], offsets[first : to + 1] - offsets[first]
+        first = to
+
+
+class ByteWords:
+    """Words of texts, with 64-bit hashes of their bytes.
+
+    classes: by byte the byte that stands for it, 32 if it parts words. Texts are hashed in blocks, so that a long one
+    takes no more memory than its words. A second, independent hash (other values of the bytes, another base) on demand.
+    """
+
+    BLOCK = 1 << 17
+
+    def __init__(self, classes: bytes, seconds: bool = False):
+        table = np.frombuffer(classes, np.uint8)
+        self.parts = table == 32
+        bases = (BASE_3, BASE_4) if seconds else (BASE_3,)
+        self.kinds = [(mix(table.astype(U64) + U64(seed << 32)), Powers(base)) for seed, base in enumerate(bases, 1)]
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes (of either kind), first byte and end of all words, and the number of words of each text."""
+        n = len(data)
+        if not n:
+            none = np.zeros(0, np.int64)
+            return [none.view(U64) for _ in self.kinds], none, none, np.zeros(len(offsets) - 1, np.int64)
+        inner = ~self.parts[data]
+        start, end = inner.copy(), inner.copy()
+        start[1:] &= ~inner[:-1]
+        end[:-1] &= ~inner[1:]
+        full = np.flatnonzero(np.diff(offsets))
+        at, last = offsets[full], offsets[full + 1] - 1
+        start[at], end[last] = inner[at], inner[last]
+        begin, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+        sizes = np.diff(np.searchsorted(begin, offsets))
+        hashes = [np.empty(len(begin), U64) for _ in self.kinds]
+        i = 0
+        while i < len(begin):
+            low = begin[i]
+            to = max(i + 1, int(np.searchsorted(end, low + self.BLOCK, "right")))
+            a, b = begin[i:to] - low, end[i:to] - low
+            part = data[low : low + b[-1]]
+            for (values, powers), out in zip(self.kinds, hashes, strict=True):
+                prefix = powers.prefix(values[part])
+                out[i:to] = mix((prefix[b] - prefix[a]) * powers.down[a] + (b - a).astype(U64))
+            i = to
+        return hashes, begin, end, sizes
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
 
