@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import lower_space_words
 
-BITS, SAMPLE, ROUNDS, RIDGE = 18, 12_000, 120, 7e-4
+BITS, SAMPLE, RIDGE, TOLERANCE = 18, 12_000, 7e-4, 1e-5
 
 
 class Features(dict):
@@ -79,29 +79,68 @@ class OrdinalModel:
         return (1 - below).sum(axis=1), 1 - below[:, cut - 1] if 0 < cut <= below.shape[1] else np.full(len(score), float(cut <= 0))
 
 
-def train(ids: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = BITS, rounds: int = ROUNDS, ridge: float = RIDGE) -> OrdinalModel:
-    """Maximum penalised likelihood by full-batch Adam; thresholds stay ordered through positive steps between them."""
+def descend(value, x: np.ndarray, tolerance: float = TOLERANCE, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS on value(x) -> (f, gradient), until no component of the gradient exceeds the tolerance, or f can't be lowered in floating point."""
+    f, g = value(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    while np.abs(g).max() > tolerance:
+        d, by = g.copy(), []
+        for s, y in reversed(steps):
+            by.append(s @ d / (s @ y))
+            d -= by[-1] * y
+        if steps:
+            s, y = steps[-1]
+            d *= (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(by), strict=True):
+            d += (a - y @ d / (s @ y)) * s
+        slope, step = -(d @ g), 1.0 if steps else min(1.0, 1 / np.abs(g).sum())
+        if slope >= 0:  # the memory misleads
+            if not steps:
+                break
+            steps.clear()
+            continue
+        while True:
+            new_f, new_g = value(new := x - step * d)
+            if new_f <= f + 1e-4 * step * slope:
+                break
+            step /= 2
+            if step < 1e-12:
+                break
+        if step < 1e-12:
+            if not steps:
+                break
+            steps.clear()
+            continue
+        if (new - x) @ (new_g - g) > 1e-14:
+            steps = [*steps, (new - x, new_g - g)][-memory:]
+        x, f, g = new, new_f, new_g
+    return x
+
+
+def train(ids: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = BITS, ridge: float = RIDGE) -> OrdinalModel:
+    """Maximum penalised likelihood, fitted until it converges; thresholds stay ordered through positive steps between them."""
     sizes = np.array([len(x) for x in ids])
-    flat, owner = np.concatenate(ids) if len(ids) else np.zeros(0, np.int64), np.repeat(np.arange(len(ids)), sizes)
+    known, flat = np.unique(np.concatenate(ids) if len(ids) else np.zeros(0, np.int64), return_inverse=True)
+    owner = np.repeat(np.arange(len(ids)), sizes)
     share = np.bincount(grades, minlength=n_grades) / len(grades)
     cumulative = np.clip(np.cumsum(share)[:-1], 0.01, 0.99)
     thresholds = np.maximum.accumulate(np.log(cumulative / (1 - cumulative)) + 1e-3 * np.arange(n_grades - 1))
-    w = np.zeros(1 << bits)
-    base, steps = thresholds[0], np.log(np.maximum(np.diff(thresholds), 1e-2))
-    x = np.concatenate([w, [base], steps])
-    m, v = np.zeros_like(x), np.zeros_like(x)
-    d = len(w)
+    d = len(known)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     rows = np.arange(len(grades))
-    for t in range(1, rounds + 1):
-        th = x[d] + np.concatenate([[0.0], np.cumsum(np.exp(x[d + 1 :]))])
+
+    def ordered(x: np.ndarray) -> np.ndarray:
+        return x[d] + np.concatenate([[0.0], np.cumsum(np.exp(x[d + 1 :]))])
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean negative log-likelihood with the ridge, and its gradient."""
         score = np.bincount(owner, x[flat], minlength=len(ids))
-        edges = np.concatenate([[-np.inf], th, [np.inf]])
+        edges = np.concatenate([[-np.inf], ordered(x), [np.inf]])
         up, low = sigmoid(edges[grades + 1] - score), sigmoid(edges[grades] - score)
         up[grades == n_grades - 1], low[grades == 0] = 1.0, 0.0
-        p = np.maximum(up - low, 1e-9)
+        p = np.maximum(up - low, 1e-12)
         du, dl = up * (1 - up) / p, low * (1 - low) / p  # d log p by the upper and lower edge
-        g = np.zeros_like(x)
+        g = np.empty_like(x)
         g[:d] = np.bincount(flat, ((du - dl) / len(ids))[owner], minlength=d) + ridge * x[:d]
         by_edge = np.zeros((len(ids), n_grades - 1))
         inner = grades < n_grades - 1
@@ -111,9 +150,12 @@ def train(ids: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int =
         edge = -by_edge.mean(axis=0)
         g[d] = edge.sum()
         g[d + 1 :] = np.exp(x[d + 1 :]) * np.cumsum(edge[::-1])[::-1][1:]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        x -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return OrdinalModel(x[:d].astype(np.float32), x[d] + np.concatenate([[0.0], np.cumsum(np.exp(x[d + 1 :]))]), bits)
+        return float(-np.log(p).mean() + ridge / 2 * (x[:d] @ x[:d])), g
+
+    x = descend(value, np.concatenate([np.zeros(d), [thresholds[0]], np.log(np.maximum(np.diff(thresholds), 1e-2))]))
+    weights = np.zeros(1 << bits, np.float32)
+    weights[known] = x[:d]
+    return OrdinalModel(weights, ordered(x), bits)
 
 
 def fit(documents: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", n_grades: int = 3, sample: int = SAMPLE, bits: int = BITS) -> OrdinalModel | None:
