@@ -2,48 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 OVERLAP, LEAST_CHARS = 120, 160
 #: Characters of a cell by which findings meet segments.
 CELL = 1024
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def chunk_spans(text: str, max_chars: int = 1800) -> Iterator[tuple[int, int]]:
+def chunk_spans(text: str, max_chars: int = 1800) -> list[tuple[int, int]]:
     """Spans of at most max_chars that cover a text; each ends at the last blank of its second half, and the next overlaps it."""
     if max_chars < LEAST_CHARS:
         raise ValueError(f"chunks need {LEAST_CHARS} characters at least")
-    at, n = 0, len(text)
-    while at < n:
-        to = min(at + max_chars, n)
-        if to < n:
-            blank = text.rfind(" ", at + max_chars // 2, to)
-            to = blank if blank > at else to
-        yield at, to
-        if to == n:
-            return
-        at = max(at + 1, to - min(OVERLAP, max_chars // 4))
+    blanks = [m.start() for m in re.finditer(" ", text)]
 
+    def end_of(start: int) -> int:
+        limit = start + max_chars
+        if limit >= len(text):
+            return len(text)
+        last = bisect.bisect_left(blanks, limit) - 1
+        return max(blanks[last], start + 1) if last >= 0 and blanks[last] >= start + max_chars // 2 else limit
 
-class Chunks:
-    """Table function: (start, end, chunk) of a text."""
+    back, spans = min(OVERLAP, max_chars // 4), []
+    while text and (not spans or spans[-1][1] < len(text)):
+        start = max(spans[-1][0] + 1, spans[-1][1] - back) if spans else 0
+        spans.append((start, end_of(start)))
+    return spans
 
-    def eval(self, text: str, max_chars: int):
-        for at, to in chunk_spans(text or "", max_chars):
-            yield at, to, text[at:to]
+
+def _spans(max_chars: int):
+    @F.pandas_udf(SPANS)
+    def of(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [{"start": a, "end": b} for a, b in chunk_spans(t or "", max_chars)])
+
+    return of
 
 
 def chunks(df: DataFrame, text: str = "text", max_chars: int = 1800) -> DataFrame:
-    """A row a chunk: the columns of df but the text, and start, end, chunk."""
-    spark = df.sparkSession
-    spark.udtf.register("sieveline_chunks", F.udtf(Chunks, returnType="start int, end int, chunk string"))
-    df.createOrReplaceTempView("sieveline_chunk_input")
-    rest = ", ".join(f"d.`{c}`" for c in df.columns if c != text)
-    return spark.sql(f"select {rest}, c.start, c.end, c.chunk from sieveline_chunk_input d, lateral sieveline_chunks(d.`{text}`, {int(max_chars)}) c")
+    """A row a chunk: the columns of df but the text, and start, end, chunk. Only spans come from Python; Spark cuts the text."""
+    if max_chars < LEAST_CHARS:
+        raise ValueError(f"chunks need {LEAST_CHARS} characters at least")
+    dealt = df.withColumn("__span", F.explode(_spans(max_chars)(F.col(text))))
+    start, end = F.col("__span.start"), F.col("__span.end")
+    return dealt.select(*[c for c in df.columns if c != text], start.alias("start"), end.alias("end"), F.substring(F.col(text), start + 1, end - start).alias("chunk"))
 
 
 def spaced(times: Column | str, interval: float) -> Column:
@@ -100,8 +108,3 @@ def round_robin(candidates: list[tuple[str, str]], queues: list[str]) -> list[st
                     taken[url] = None
                     break
     return list(taken)
-
-
-def register(spark: SparkSession) -> None:
-    """Makes the table function known to SQL."""
-    spark.udtf.register("sieveline_chunks", F.udtf(Chunks, returnType="start int, end int, chunk string"))
