@@ -70,12 +70,19 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch, where the session names no number: whole texts of some kilobytes are in them.
+BATCH_ROWS = 2_000
+
+
 def worker_path(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver found it."""
+    """Lets Python workers import this package wherever the driver found it, and keeps batches of whole texts small."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -133,8 +140,10 @@ def word_chunks(texts: list[str | None], words_of: Callable[[str | None], list[b
 
 def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of the texts of a string column, of about ``most`` bytes each: place of the first, bytes, offsets of the texts in them (one more than texts)."""
-    column = column.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count:
+        column = column.fill_null("")
+    wide = pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     first = 0
     while first < len(column):

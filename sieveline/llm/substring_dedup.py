@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import BASE_2, Powers, Scratch, WordHashes, mix, signed, space_words, winnow, word_chunks
+from sieveline.llm.common import BASE_2, SPACES, ByteWords, Powers, Scratch, mix, signed, space_words, text_chunks, winnow
 
-WINDOW, GRAM, BITS, MOST_RUNS = 50, 8, 24, 4
+WINDOW, GRAM, BITS, MOST_RUNS, BATCHES = 50, 8, 24, 2, 3
 #: Sizes of the sets that tell which texts lose words, and which windows occur again.
 DOC_BITS, WINDOW_BITS = 22, 25
 LAST = (1 << 63) - 1
@@ -43,29 +43,31 @@ class Segments:
 
     def __init__(self, window: int, gram: int):
         self.window, self.gram = window, gram
-        self.hashes, self.one, self.two = WordHashes(), Powers(), Powers(BASE_2)
+        # two hashes of the words themselves, so that what one confuses the other tells apart
+        self.words, self.one, self.two = ByteWords(SPACES, seconds=True), Powers(), Powers(BASE_2)
 
-    def of(self, docs: list[list[bytes]]) -> dict[str, np.ndarray]:
-        """owner, p, n (windows), anchor, s1, s2 of the segments; also the prefix sums, for windows()."""
-        sizes = np.array([len(d) for d in docs], np.int64)
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+        """owner, p, n (windows), anchor, s1, s2 of the segments; sizes and chars of the texts' words; also the prefix sums, for windows()."""
+        (x, y), begin, end, sizes = self.words.of(data, offsets)
         starts = np.cumsum(sizes) - sizes
-        x = self.hashes.array([w for d in docs for w in d])
-        one, two = self.one.prefix(x), self.two.prefix(mix(x ^ np.uint64(0x5851F42D4C957F2D)))
+        one, two = self.one.prefix(x), self.two.prefix(y)
+        chars = np.concatenate([[0], np.cumsum(end - begin)])
+        whole = {"sizes": sizes, "chars": chars[starts + sizes] - chars[starts], "one": one, "two": two}
         kept = winnow(self.one.grams(one, self.gram), self.window - self.gram + 1)
         place = np.arange(len(kept))
-        owner = np.repeat(np.arange(len(docs)), sizes)
-        whole = owner[place] == owner[place + self.window - 1] if len(kept) else np.zeros(0, bool)
-        place, kept = place[whole], kept[whole]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        inner = owner[place] == owner[place + self.window - 1] if len(kept) else np.zeros(0, bool)
+        place, kept = place[inner], kept[inner]
         if not len(place):
             none = np.zeros(0, np.int64)
-            return {"owner": none, "p": none, "n": none, "anchor": none.view(np.uint64), "s1": none.view(np.uint64), "s2": none.view(np.uint64), "start": none, "one": one, "two": two}
+            return {"owner": none, "p": none, "n": none, "anchor": none.view(np.uint64), "s1": none.view(np.uint64), "s2": none.view(np.uint64), "start": none, **whole}
         first = np.flatnonzero(np.concatenate([[True], (kept[1:] != kept[:-1]) | (owner[place[1:]] != owner[place[:-1]])]))
         n = np.diff(np.concatenate([first, [len(place)]]))
         start, at = place[first], kept[first]
         end = start + n - 1 + self.window
-        inside = (at - start).astype(np.uint64)
+        inside_ = (at - start).astype(np.uint64)
         whose = owner[start]
-        return {"owner": whose, "p": start - starts[whose], "n": n, "anchor": self.one.spans(one, at, at + self.gram), "s1": mix(self.one.spans(one, start, end) + inside), "s2": mix(self.two.spans(two, start, end) ^ inside), "start": start, "one": one, "two": two}
+        return {"owner": whose, "p": start - starts[whose], "n": n, "anchor": self.one.spans(one, at, at + self.gram), "s1": mix(self.one.spans(one, start, end) + inside_), "s2": mix(self.two.spans(two, start, end) ^ inside_), "start": start, **whole}
 
     def windows(self, found: dict[str, np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, ...]:
         """owner, p, w1, w2 of the windows of the chosen segments."""
@@ -76,8 +78,11 @@ class Segments:
         return owner, p + step, self.one.spans(found["one"], start, start + self.window), self.two.spans(found["two"], start, start + self.window)
 
 
-def _text_key(text: str | None) -> int:
-    return int.from_bytes(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little", signed=True)
+def _digest(data: np.ndarray, chars: int, words: int) -> str:
+    """sha256 of a text's words joined by blanks."""
+    raw = data.tobytes().translate(SPACES)
+    # as long as its words and one blank between each: that is the text itself
+    return hashlib.sha256(raw if len(raw) == chars + max(words - 1, 0) else b" ".join(raw.split())).hexdigest()
 
 
 def _bit(x: np.ndarray, bits: int) -> np.ndarray:
@@ -144,43 +149,43 @@ class WindowIndex:
             make = Segments(window, gram)
             fields = [("p", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
             for rows in batches:
-                ids, texts = rows.column(0), rows.column(1).to_pylist()
-                keys = [_text_key(x) for x in texts]
-                for first, part in word_chunks(texts, space_words):
-                    found = make.of(part)
-                    offsets = np.searchsorted(found["owner"], np.arange(len(part) + 1))
+                for first, data, at in text_chunks(rows.column(2)):
+                    found, n = make.of(data, at), len(at) - 1
+                    offsets = np.searchsorted(found["owner"], np.arange(n + 1))
                     columns = [pa.array(signed(found[k]) if found[k].dtype == np.uint64 else found[k]).cast(kind) for k, kind in fields]
                     segments = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=[pa.field(*f) for f in fields]))
-                    digests = [hashlib.sha256(b" ".join(d)).hexdigest() for d in part]
-                    yield pa.RecordBatch.from_arrays([ids[first : first + len(part)], pa.array(keys[first : first + len(part)], pa.int32()), pa.array([len(d) for d in part], pa.int64()), pa.array(digests, pa.string()), segments], names=["doc", "t", "n_words", "words_sha256", "segments"])
+                    digests = [_digest(data[a:b], c, w) for a, b, c, w in zip(at[:-1].tolist(), at[1:].tolist(), found["chars"].tolist(), found["sizes"].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([rows.column(0)[first : first + n], rows.column(1)[first : first + n], pa.array(found["sizes"], pa.int64()), pa.array(digests, pa.string()), segments], names=["doc", "t", "n_words", "words_sha256", "segments"])
 
-        schema = "doc long, t int, n_words long, words_sha256 string, segments array<struct<p int, n int, anchor long, s1 long, s2 long>>"
-        return self.scratch.save(batch.select("doc", "text").mapInArrow(run, schema), name)
+        schema = "doc long, t long, n_words long, words_sha256 string, segments array<struct<p int, n int, anchor long, s1 long, s2 long>>"
+        return self.scratch.save(batch.select("doc", "t", "text").mapInArrow(run, schema), name)
 
-    def owners(self, segments: DataFrame, anchors: np.ndarray) -> np.ndarray:
-        """A set of fixed size of the first owners' segments (anchor, s1, doc) whose anchors are in the set."""
+    def owners(self, segments: DataFrame, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sets of fixed size: the first owners' segments (anchor, s1, doc) whose anchors are in the set, and those owners."""
         held, bits = self.spark.sparkContext.broadcast(np.packbits(anchors)), self.bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
                 anchor, s1, doc = (rows.column(k).to_numpy() for k in range(3))
                 chosen = inside(held.value, anchor, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(_owned(s1[chosen], doc[chosen])))], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(_owned(s1[chosen], doc[chosen]))), rows.column(3).filter(pa.array(chosen))], names=["key", "h"])
 
-        return fixed_set(segments.select("anchor", "s1", "doc").mapInArrow(run, "key long"), "key", bits)
+        found = segments.select("anchor", "s1", "doc", F.xxhash64("doc").alias("h")).mapInArrow(run, "key long, h long")
+        return fixed_set(found, "key", bits), fixed_set(found, "h", DOC_BITS)
 
-    def windows(self, corpus: DataFrame, anchors: np.ndarray, owners: np.ndarray, again: np.ndarray | None = None) -> DataFrame:
-        """Windows of the segments whose anchors are in one set, and whose first owners are in the other: w1 alone, or,
-        of the w1 in a third set, w1, w2, doc, t, p."""
-        held = self.spark.sparkContext.broadcast(tuple(None if x is None else np.packbits(x) for x in (anchors, owners, again)))
+    def windows(self, corpus: DataFrame, anchors: np.ndarray, owners: tuple[np.ndarray, np.ndarray], again: np.ndarray | None = None) -> DataFrame:
+        """Windows of the segments whose anchors are in one set, and whose first owners are in the others: w1 alone, or,
+        of the w1 in a last set, w1, w2, doc, t, p. Texts of other documents are not read."""
+        held = self.spark.sparkContext.broadcast(tuple(None if x is None else np.packbits(x) for x in (anchors, *owners, again)))
         window, gram, bits = self.window, self.gram, self.bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            make, (wanted, first_owned, seen) = Segments(window, gram), held.value
+            make, (wanted, first_owned, owning, seen) = Segments(window, gram), held.value
             for rows in batches:
-                ids, texts = rows.column(0).to_numpy(), rows.column(1).to_pylist()
-                for first, part in word_chunks(texts, space_words):
-                    found = make.of(part)
+                rows = rows.filter(pa.array(inside(owning, rows.column("h").to_numpy(), DOC_BITS)))
+                ids, t = rows.column("doc").to_numpy(), rows.column("t").to_numpy()
+                for first, data, at in text_chunks(rows.column("text")):
+                    found = make.of(data, at)
                     mine = _owned(found["s1"], ids[first + found["owner"]])
                     chosen = np.flatnonzero(inside(wanted, found["anchor"], bits) & inside(first_owned, mine, bits))
                     if not len(chosen):
@@ -191,12 +196,9 @@ class WindowIndex:
                         continue
                     kept = inside(seen, w1, WINDOW_BITS)
                     owner, p, w1, w2 = owner[kept], p[kept], w1[kept], w2[kept]
-                    keys = np.zeros(len(part), np.int32)
-                    for i in np.unique(owner).tolist():
-                        keys[i] = _text_key(texts[first + i])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), pa.array(ids[first + owner]), pa.array(keys[owner]), pa.array(p, pa.int32())], names=["w1", "w2", "doc", "t", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), pa.array(ids[first + owner]), pa.array(t[first + owner]), pa.array(p, pa.int32())], names=["w1", "w2", "doc", "t", "p"])
 
-        return corpus.select("doc", "text").mapInArrow(run, "w1 long" if again is None else "w1 long, w2 long, doc long, t int, p int")
+        return corpus.select("doc", "t", F.xxhash64("doc").alias("h"), "text").mapInArrow(run, "w1 long" if again is None else "w1 long, w2 long, doc long, t long, p int")
 
     def among(self, scanned: DataFrame, wanted: np.ndarray) -> DataFrame:
         """Segments (doc, t, p, n, anchor, s1, s2) of the scanned documents whose s1 is in the set."""
@@ -211,10 +213,10 @@ class WindowIndex:
                 take, of = pa.array(at), pa.array(row[at])
                 yield pa.RecordBatch.from_arrays([rows.column("doc").take(of), rows.column("t").take(of), *(flat.field(k).take(take) for k in ("p", "n", "anchor", "s1", "s2"))], names=["doc", "t", "p", "n", "anchor", "s1", "s2"])
 
-        return scanned.select("doc", "t", "segments").where(F.size("segments") > 0).mapInArrow(run, "doc long, t int, p int, n int, anchor long, s1 long, s2 long")
+        return scanned.select("doc", "t", "segments").where(F.size("segments") > 0).mapInArrow(run, "doc long, t long, p int, n int, anchor long, s1 long, s2 long")
 
     def add(self, batch: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Takes in a batch (doc, text). corpus: the batch and all earlier ones, as verification reads their texts again.
+        """Takes in a batch (doc, t, text). corpus: the batch and all earlier ones, as verification reads their texts again.
 
         Returns the scanned documents, and spans of covered windows: doc, t, p (first window), n (windows).
         """
@@ -267,8 +269,8 @@ def cover(n_words: int, spans: list[tuple[int, int]], window: int) -> np.ndarray
     return np.cumsum(edge[:-1]) > 0
 
 
-def find_spans(documents: DataFrame, window: int = WINDOW, batches: int = 2, gram: int = GRAM, bits: int = BITS, most_runs: int = MOST_RUNS) -> tuple[DataFrame, DataFrame, Scratch]:
-    """Takes documents (doc, text) in by batches of ascending ids: the scanned documents, and spans by document (doc, t, spans)."""
+def find_spans(documents: DataFrame, window: int = WINDOW, batches: int = BATCHES, gram: int = GRAM, bits: int = BITS, most_runs: int = MOST_RUNS) -> tuple[DataFrame, DataFrame, Scratch]:
+    """Takes documents (doc, t, text) in by batches of ascending ids: the scanned documents, and spans by document (doc, t, spans)."""
     cuts = sorted(set(documents.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])) if batches > 1 else []
     index = WindowIndex(documents.sparkSession, window, gram, bits, most_runs)
     scanned = spans = None
@@ -281,18 +283,15 @@ def find_spans(documents: DataFrame, window: int = WINDOW, batches: int = 2, gra
     return scanned, by_doc, index.scratch
 
 
-def _keyed(documents: DataFrame, touched: np.ndarray | None = None) -> DataFrame:
-    """doc, t, text; only of documents in the fixed set, if there is one."""
-    held = documents.sparkSession.sparkContext.broadcast(None if touched is None else np.packbits(touched))
+def _touched(documents: DataFrame, touched: np.ndarray) -> DataFrame:
+    """doc, t, text of documents in the fixed set."""
+    held = documents.sparkSession.sparkContext.broadcast(np.packbits(touched))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            if held.value is not None:
-                rows = rows.filter(pa.array(inside(held.value, rows.column("h").to_numpy(), DOC_BITS)))
-            keys = pa.array([_text_key(x) for x in rows.column(1).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([rows.column(0), keys, rows.column(1)], names=["doc", "t", "text"])
+            yield rows.filter(pa.array(inside(held.value, rows.column("h").to_numpy(), DOC_BITS))).select(["doc", "t", "text"])
 
-    return documents.select("doc", "text", F.xxhash64("doc").alias("h")).mapInArrow(run, "doc long, t int, text string")
+    return documents.select("doc", "t", "text", F.xxhash64("doc").alias("h")).mapInArrow(run, "doc long, t long, text string")
 
 
 def _apply(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -310,11 +309,12 @@ def _apply(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
                 texts.append(kept.decode("utf-8", "surrogatepass") if with_text else None)
             yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("t"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["doc", "t", "n_removed", "kept_sha256", "kept_text"])
 
-    return rows.select("doc", "t", "text", "spans").mapInArrow(run, "doc long, t int, n_removed long, kept_sha256 string, kept_text string")
+    return rows.select("doc", "t", "text", "spans").mapInArrow(run, "doc long, t long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def _documents(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+    """doc, t, text; t, a hash of the text, tells rows with one id apart."""
+    return documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
 
 
 def _id(doc_id: str):
@@ -325,7 +325,7 @@ def kept_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per document: doc_id, n_removed, kept_text (words joined by blanks)."""
     docs = _documents(documents, doc_id, text)
     _, by_doc, _ = find_spans(docs, window, **options)
-    return _apply(_keyed(docs).join(by_doc, ["doc", "t"], "left"), window, True).select(_id(doc_id), "n_removed", "kept_text")
+    return _apply(docs.join(by_doc, ["doc", "t"], "left"), window, True).select(_id(doc_id), "n_removed", "kept_text")
 
 
 def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **options) -> DataFrame:
@@ -333,7 +333,7 @@ def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     docs = _documents(documents, doc_id, text)
     scanned, by_doc, _ = find_spans(docs, window, **options)
     touched = fixed_set(by_doc.select(F.xxhash64("doc").alias("h")), "h", DOC_BITS)
-    edited = _apply(_keyed(docs, touched).join(by_doc, ["doc", "t"]), window, False).drop("kept_text").dropDuplicates(["doc", "t"])
+    edited = _apply(_touched(docs, touched).join(by_doc, ["doc", "t"]), window, False).drop("kept_text").dropDuplicates(["doc", "t"])
     joined = scanned.join(edited, ["doc", "t"], "left")
     return joined.select(_id(doc_id), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "words_sha256").alias("kept_sha256"))
 
