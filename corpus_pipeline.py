@@ -12,6 +12,8 @@ the table pass through to the last stage but one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,32 +24,43 @@ from sieveline.llm.common import Scratch, read, worker_path
 WORDS, PERCENT = 5, 80
 
 
+def through(docs: DataFrame, needed: list[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of docs after a stage that works on the needed ones; the others pass it under names that it doesn't use."""
+    hidden = {c: f"passed_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    out = stage(docs.select(*needed, *[F.col(f"`{c}`").alias(h) for c, h in hidden.items()]))
+    return out.select(*[F.col(hidden[c]).alias(c) if c in hidden else F.col(c) for c in docs.columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     worker_path(spark)
     model = quality.fit(docs, quality.grades_of_labels(read(spark, sf_dir, "labels")))
-    return quality.score(docs, model).where("keep").select(*docs.columns)
+    return through(docs, ["doc_id", "text"], lambda d: quality.score(d, model).where("keep"))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.drop_spread_lines(docs)
+    kept = through(docs, ["doc_id", "text", "source"], line_dedup.drop_spread_lines)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     worker_path(spark)
-    # by a key of the row, as ids may be null or stand on several texts
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    groups = jaccard_join.cluster(keyed, doc_id="__row", n=WORDS, percent=PERCENT).select("__row", "component_id").distinct()
-    ids = keyed.select("__row", "doc_id").distinct()
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
-    first = groups.join(ids, "__row").groupBy("component_id").agg(best.alias("best")).select("best.__row")
-    return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+
+    def survivors(d: DataFrame) -> DataFrame:
+        # by a key of the row, as ids may be null or stand on several texts
+        keyed = d.withColumn("__row", F.xxhash64("doc_id", "text"))
+        groups = jaccard_join.cluster(keyed, doc_id="__row", n=WORDS, percent=PERCENT).select("__row", "component_id").distinct()
+        ids = keyed.select("__row", "doc_id").distinct()
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+        first = groups.join(ids, "__row").groupBy("component_id").agg(best.alias("best")).select("best.__row")
+        return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"])
+
+    return through(docs, ["doc_id", "text"], survivors)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     worker_path(spark)
-    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
-    return found.where("hit_words is null").select(*docs.columns)
+    items = read(spark, sf_dir, "benchmark")
+    return through(docs, ["doc_id", "text"], lambda d: decontaminate.find_contamination(d, items).where("hit_words is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
