@@ -41,10 +41,16 @@ def normalise(text: Column | str) -> Column:
 
 @F.pandas_udf(T.StringType())
 def compose(text: pd.Series) -> pd.Series:
-    """NFKC form; use it before normalise() where texts hold compatibility characters."""
+    """NFKC form of all texts; nfkc() spares those that have none."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(text: Column | str) -> Column:
+    """NFKC form; ASCII texts, which it leaves as they are, don't go to Python."""
+    text = _col(text)
+    return F.coalesce(compose(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+
+
 @F.pandas_udf(T.StringType())
 def canonical(text: pd.Series) -> pd.Series:
     """NFC form with white space collapsed."""

@@ -130,7 +130,21 @@ def multilabel(df: DataFrame, truth: str = "labels", predicted: str = "predicted
     return summary(confusion(flags, by=["label"])).withColumn("support", F.col("tp") + F.col("fn")).drop("macro_f1", "accuracy", "majority_baseline")
 
 
-def upper_median(values: Column | str) -> Column:
-    """The element in the middle of the sorted values, the upper one of two."""
-    sorted_ = F.array_sort(F.collect_list(values))
-    return F.element_at(sorted_, (F.floor(F.size(sorted_) / 2) + 1).cast("int"))
+def multilabel_totals(df: DataFrame, truth: str = "labels", predicted: str = "predicted", labels: list[str] | None = None) -> DataFrame:
+    """One row: macro_f1 over the labels, and exact_match, the share of rows with equal sets of labels."""
+    macro = multilabel(df, truth, predicted, labels).agg(F.avg("f1").alias("macro_f1"))
+    same = F.array_sort(F.array_distinct(truth)) == F.array_sort(F.array_distinct(predicted))
+    return macro.crossJoin(df.agg(F.avg(same.cast("double")).alias("exact_match")))
+
+
+def early_stop(history: DataFrame, patience: int, by: list[str] | None = None, step: str = "step", value: str = "value") -> DataFrame:
+    """Adds best (the highest value so far), waited (steps since it was first reached) and stopped to the history of a run."""
+    past = Window.partitionBy(*(by or [])).orderBy(step)
+    rows = history.withColumn("best", F.max(value).over(past)).withColumn("__nth", F.row_number().over(past))
+    reached = Window.partitionBy(*(by or []), "best").orderBy(step)
+    return rows.withColumn("waited", F.col("__nth") - F.first("__nth").over(reached)).withColumn("stopped", F.col("waited") >= patience).drop("__nth")
+
+
+def upper_median(values: str) -> Column:
+    """The element in the middle of the sorted values, the upper one of two: the lower one in falling order. Counts distinct values."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {values} desc)").cast("long")

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
-from pyspark.ml.feature import CountVectorizerModel, Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.operators.metrics import best_threshold, confusion, pr_auc, roc_auc, summary
 from sieveline.operators.relevance import class_weights
 
+WRAPPED = T.StructType([T.StructField("v", VectorUDT())])
 FEATURES, WORD_SIZES, LETTER_SIZES = 10_000, (1, 2), (3, 5)
 
 
@@ -69,21 +71,14 @@ class TfIdf:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.linalg import SparseVector, Vectors
-
+        """JVM transformers alone: counts, their logarithms, the weights, unit length."""
         counts = CountVectorizerModel.from_vocabulary(self.words, inputCol="__grams", outputCol="__counts").transform(df.withColumn("__grams", self.grams))
-        idf = df.sparkSession.sparkContext.broadcast(self.idf)
-
-        @F.udf(VectorUDT())
-        def weigh(v: SparseVector) -> SparseVector:
-            import numpy as np
-
-            own = (1 + np.log(v.values)) * np.array(idf.value)[v.indices]
-            norm = np.sqrt((own**2).sum())
-            return Vectors.sparse(v.size, v.indices, own / norm if norm else own)
-
-        # else the optimiser tries to fold it over small local tables, which it can't
-        return counts.withColumn(self.name, weigh.asNondeterministic()("__counts")).drop("__grams", "__counts")
+        plain = F.unwrap_udt("__counts")
+        damped = plain.withField("values", F.transform(plain["values"], lambda n: 1 + F.log(n)))
+        # built-ins unwrap a vector, and only a schema wraps one again
+        logs = counts.withColumn("__logs", F.from_json(F.to_json(F.struct(damped.alias("v"))), WRAPPED)["v"])
+        weighed = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="__logs", outputCol="__weighed").transform(logs)
+        return Normalizer(inputCol="__weighed", outputCol=self.name, p=2.0).transform(weighed).drop("__grams", "__counts", "__logs", "__weighed")
 
 
 def text_features(train: DataFrame, frames: list[DataFrame], text: str = "text", size: int = FEATURES) -> tuple[list[TfIdf], list[DataFrame]]:

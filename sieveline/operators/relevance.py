@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions import lexicons
-from sieveline.functions.text import normalise, strip
+from sieveline.functions.text import nfkc, normalise, strip
 
 
 def _padded(text: Column) -> Column:
@@ -43,7 +43,7 @@ def score(
     have = [(name, weight) for name, weight in fields if name in df.columns]
     out = df
     for name, _ in have:
-        text = normalise(name)
+        text = normalise(nfkc(name))
         out = out.withColumn(f"__{name}", F.substring(text, 1, lexicons.BODY_CHARS) if name == "body" else text)
     table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(len(t)).alias("chars"), F.lit(w).alias("weight")) for t, w in dict(terms).items()])
     per_field = []
@@ -113,17 +113,40 @@ def curated(df: DataFrame, require_image: bool = False) -> DataFrame:
     return out.where(F.exists("images", lambda i: F.length(i["local_path"]) > 0)) if require_image else out
 
 
+def finance_flag(automatic: Column | str = "is_relevant", review: Column | str = "review") -> Column:
+    """The decision of an accepted review (a struct with task_relevant, null without one), else the automatic one."""
+    automatic, review = (F.col(c) if isinstance(c, str) else c for c in (automatic, review))
+    return F.coalesce(review["task_relevant"], automatic)
+
+
 def source_yield(df: DataFrame, by: str = "source") -> DataFrame:
-    """Per source: total, relevant, labelled and kept rows; df has is_relevant and label."""
+    """Per source: total, relevant, labelled and kept rows; df has is_relevant and label.
+
+    With columns images, reviewed or automatic also with_image (any downloaded), manual_reviewed and
+    automatic_finance: how many rows have them.
+    """
     known = F.col("label") != "unknown"
+    more = {
+        "images": ("with_image", lambda: F.exists("images", lambda i: F.length(i["local_path"]) > 0)),
+        "reviewed": ("manual_reviewed", lambda: F.col("reviewed")),
+        "automatic": ("automatic_finance", lambda: F.col("automatic")),
+    }
     return df.groupBy(by).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("is_relevant").alias("relevant"),
         F.count_if(known).alias("labelled"),
         F.count_if(known & F.col("is_relevant")).alias("kept"),
+        *[F.count_if(F.coalesce(having(), F.lit(False))).alias(name) for column, (name, having) in more.items() if column in df.columns],
     )
 
 
+def label_balance(df: DataFrame, label: str = "label") -> DataFrame:
+    """label, n, share of the rows, and the share of the largest class."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most"))
+    return counts.join(F.broadcast(whole)).select(label, "n", (F.col("n") / F.col("total")).alias("share"), (F.col("most") / F.col("total")).alias("majority_share"))
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Inverse-frequency weights n / (k * c) by class; no rows for a single class."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))

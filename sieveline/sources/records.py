@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sieveline.functions.text import strip, uid
+from sieveline.operators.extract import clean_html, page_images, strip_tags, unescape_entities
 
 IMAGE = T.StructType([T.StructField(n, t) for n, t in [("url", T.StringType()), ("local_path", T.StringType()), ("role", T.StringType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("sha256", T.StringType()), ("alt_text", T.StringType()), ("caption", T.StringType()), ("ocr_text", T.StringType())]])
 _TEXTS = ("source", "source_id", "url", "title", "published_at", "author", "body_text", "claim_text", "verdict_raw", "label")
@@ -24,11 +25,16 @@ ORIGIN = ("__path", "__line")
 
 
 def _lines(spark: SparkSession, path: str | list[str], pattern: str, recursive: bool) -> DataFrame:
-    """body, __path, __line (a growing ordinal within a file): blank lines and byte-order marks are gone."""
+    """body, __path, __line (from 1 within a file): blank lines and byte-order marks are gone.
+
+    Lines are numbered within the block of a file that a task reads, and blocks by the lines before them.
+    """
     rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).text(path)
-    body = F.regexp_replace("value", "^﻿", "")
-    numbered = rows.select(body.alias("body"), F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"))
-    return numbered.where(F.length(strip("body")) > 0).drop("__block")
+    read = rows.select(F.regexp_replace("value", "^﻿", "").alias("body"), F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    blocks = read.groupBy("__path", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select("__path", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__add"))
+    return read.where(F.length(strip("body")) > 0).join(placed, ["__path", "__block"]).select("body", "__path", (F.col("__id") + F.col("__add")).alias("__line"))
 
 
 def _parsed(rows: DataFrame, schema: T.StructType) -> DataFrame:
@@ -42,7 +48,9 @@ def read_records(spark: SparkSession, path: str | list[str], strict: bool = Fals
     unknown fields, are left out; strict fails on the first of them when the result is used."""
     rows = _parsed(_lines(spark, path, pattern, recursive), RECORD)
     if strict:
-        rows = rows.where(F.when(F.col("__error").isNotNull(), F.raise_error(F.concat(F.col("__path"), F.lit(": "), F.col("__error")))).otherwise(True))
+        # in the column that the filter below reads, so that no filter runs before it
+        message = F.concat(F.col("__path"), F.lit(":"), F.col("__line"), F.lit(": "), F.col("__error"))
+        rows = rows.withColumn("__error", F.when(F.col("__error").isNotNull(), F.raise_error(message).cast("string")))
     good = rows.where("__error is null").select("__record.*", *ORIGIN)
     return good.withColumn("uid", F.coalesce("uid", uid("source", "source_id")))
 
@@ -62,7 +70,7 @@ def fail_on_errors(good: DataFrame, errors: DataFrame, key: str = "uid") -> Data
     """good, if there are no errors and no key twice; a driver error else."""
     first = errors.limit(1).collect()
     if first:
-        raise ValueError(f"{first[0]['__path']}: {first[0]['error']}")
+        raise ValueError(f"{first[0]['__path']}:{first[0]['__line']}: {first[0]['error']}")
     if twice := good.groupBy(key).count().where("count > 1").limit(1).collect():
         raise ValueError(f"{key} {twice[0][0]} occurs more than once")
     return good
@@ -92,19 +100,26 @@ def read_reviews(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 
 
 def posts(responses: DataFrame, source: str, categories: dict[int, str] | None = None) -> DataFrame:
-    """Records of captured post listings (url, query, page, body); the first response that shows a post counts."""
-    post = "array<struct<id: long, date: string, link: string, title: struct<rendered: string>, excerpt: struct<rendered: string>, content: struct<rendered: string>, categories: array<long>, tags: array<long>, jetpack_featured_media_url: string>>"
+    """Records of captured post listings (query, page, body); the first response that shows a post counts.
+
+    Title and excerpt without tags and entities, the readable body, images of the content after the featured one.
+    """
+    post = "array<struct<id: long, date: string, date_gmt: string, slug: string, modified: string, link: string, title: struct<rendered: string>, excerpt: struct<rendered: string>, content: struct<rendered: string>, categories: array<long>, tags: array<long>, featured_media: long, jetpack_featured_media_url: string>>"
     rows = responses.select("query", "page", F.posexplode(F.from_json("body", post)).alias("pos", "p"))
     first = rows.groupBy("p.id").agg(F.min_by("p", F.struct("query", "page", "pos")).alias("p"))
     names = F.create_map(*[F.lit(x) for k, v in (categories or {}).items() for x in (k, v)]) if categories else F.expr("cast(map() as map<bigint, string>)")
-    p = F.col("p")
-    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""))
-    hero = F.when(F.length(p["jetpack_featured_media_url"]) > 0, F.array(F.struct(p["jetpack_featured_media_url"].alias("url"), F.lit("creative").alias("role"))))
-    return first.select(
-        F.lit(source).alias("source"), p["id"].cast("string").alias("source_id"), p["link"].alias("url"), plain(p["title"]["rendered"]).alias("title"), p["date"].alias("published_at"),
-        plain(p["excerpt"]["rendered"]).alias("claim_text"), p["content"]["rendered"].alias("html"), F.coalesce(hero, F.expr("cast(array() as array<struct<url: string, role: string>>)")).alias("images"),
-        F.transform(F.coalesce(p["categories"], F.expr("cast(array() as array<bigint>)")), lambda c: F.coalesce(F.element_at(names, c), c.cast("string"))).alias("categories"),
-    ).withColumn("uid", uid("source", "source_id"))
+    p, none = F.col("p"), F.expr("cast(array() as array<bigint>)")
+    plain = lambda c: unescape_entities(strip_tags(F.coalesce(c, F.lit(""))))
+    made = first.select(
+        F.lit(source).alias("source"), p["id"].cast("string").alias("source_id"), p["link"].alias("url"), plain(p["title"]["rendered"]).alias("title"), F.coalesce(F.nullif(p["date_gmt"], F.lit("")), p["date"]).alias("published_at"),
+        plain(p["excerpt"]["rendered"]).alias("claim_text"), p["content"]["rendered"].alias("html"), clean_html(p["content"]["rendered"]).alias("body_text"), page_images(p["content"]["rendered"], p["link"]).alias("images"),
+        F.transform(F.coalesce(p["categories"], none), lambda c: F.coalesce(F.element_at(names, c), c.cast("string"))).alias("categories"), F.transform(F.coalesce(p["tags"], none), lambda t: t.cast("string")).alias("tags"),
+        F.struct(p["slug"].alias("slug"), p["modified"].alias("modified"), p["featured_media"].alias("featured_media")).alias("raw"), F.coalesce(p["jetpack_featured_media_url"], F.lit("")).alias("__hero"),
+    )
+    hero = F.array(F.struct(F.col("__hero").alias("url"), F.lit("creative").alias("role"), F.col("title").alias("alt_text"), F.lit("").alias("caption"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height")))
+    shown = F.exists("images", lambda i: i["url"] == F.col("__hero"))
+    images = F.when((F.col("__hero") == "") | shown, F.col("images")).otherwise(F.concat(hero, F.col("images")))
+    return made.withColumn("images", images).drop("__hero").withColumn("uid", uid("source", "source_id"))
 
 
 def claims(responses: DataFrame, hosts: list[str] | None = None) -> DataFrame:
