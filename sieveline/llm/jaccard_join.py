@@ -13,9 +13,8 @@ its number of links, and misses no link, up to collisions of the hashes.
    Passages that many documents share thus bring no documents together, and unrelated ones don't meet by chance,
    as a key stands for several shingles.
 3. Documents with equal sets (128 bits) are one class. Classes that share a key are paired with a leader of its list,
-   where their components differ, as often as that halves what is left; then all remaining pairs of different
-   components are looked at. Parity bitmaps reject pairs that differ in too many shingles, in the join itself. A
-   group of near copies thus takes about as many pairs as it has members.
+   where their components differ, in two rounds; then all remaining pairs of different components are looked at.
+   Parity bitmaps reject pairs that differ in too many shingles, in the join itself. A group of near copies thus takes about as many pairs as it has members.
 4. For each pair and fragment the overlap is counted by itself, on rows that hold one fragment of a set, and the
    counts are summed per pair.
 5. Components are found by passing on the least label along links, with pointer jumps, until nothing changes.
@@ -48,9 +47,8 @@ PARITY_WORDS = 8
 KEY_BITS, DOC_BITS = 25, 22
 #: Sizes of neighbouring levels, as a factor, and the least of them.
 STEP, FIRST_TOP = 1.7, 8
-#: After the first leaders, all remaining pairs are looked at once they are at most so many times the rows of their lists,
-#: or once another round of leaders would leave more than half of them.
-FEW = 500
+#: Rounds of leaders before all remaining pairs of different components are looked at.
+STAR_ROUNDS = 2
 #: Partitions of tables that are small enough to be broadcast.
 SMALL_PARTITIONS = 8
 #: Labels of so many classes (some 5 MB) are broadcast; more are joined by shuffle.
@@ -336,15 +334,13 @@ class Join:
         full = scanned.where("size > 0")
         self.classes = self.save(full.groupBy(*NODE).agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), *[F.min(c).alias(c) for c in ("size", *PARITY)]))
         first, posts = self.saves + 1, self.posts(full)
-        found, labels, r, more, before = None, None, 0, True, None
+        found, labels, r, more = None, None, 0, True
         while True:
             held = self.save(self.labelled(posts, labels))
-            lists = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-            rows, most = lists.agg(F.sum("n"), F.sum(F.expr("cast(n as double) * (n - 1) / 2"))).first()
-            if not rows:
+            lists = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+            if lists.isEmpty():
                 break
-            last = before is not None and (not more or most <= FEW * rows or 2 * most > before)
-            before = most
+            last = r >= STAR_ROUNDS or not more
             new = self.links(self.rest(held, lists) if last else self.stars(held, r))
             more = not new.isEmpty()
             if more:
@@ -393,10 +389,11 @@ class Join:
         return posts.join(self.small(labels.withColumnRenamed("node", "nid")), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
 
     def stars(self, posts: DataFrame, r: int) -> DataFrame:
-        """Pairs of each class with a leader of its list, where their components differ."""
-        by = F.xxhash64("nid", F.lit(r))
-        leaders = posts.groupBy("key").agg(F.min(by).alias("by"), F.min_by("nid", by).alias("a"), F.min_by("label", by).alias("own"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "a", "own")
-        return posts.join(leaders, "key").where("label <> own").select("a", F.col("nid").alias("b")).distinct()
+        """Pairs of a leader of each list with the classes of other components in it. The leader is of the component with most classes there; first one for many lists, then one of each list's own."""
+        by = F.xxhash64("nid", F.lit(r)) if r == 0 else F.xxhash64("nid", "key", F.lit(r))
+        parts = posts.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("by"), F.min_by("nid", by).alias("a"))
+        leaders = parts.groupBy("key").agg(F.max_by(F.struct("a", "label"), F.struct("n", -F.col("by"))).alias("lead"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        return posts.join(leaders.select("key", "lead.a", F.col("lead.label").alias("own")), "key").where("label <> own").select("a", F.col("nid").alias("b")).distinct()
 
     def rest(self, posts: DataFrame, lists: DataFrame) -> DataFrame:
         """Pairs of classes of different components that share a key."""
