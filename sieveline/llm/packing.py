@@ -267,7 +267,8 @@ def pack(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", capac
     rows = spark.sparkContext.broadcast(places(complete(histogram, capacity, nodes)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy(doc_id, "piece")
+    # equal rows alone tie, so a task that runs again gives each piece its place again
+    own = Window.partitionBy("length", "bucket").orderBy(doc_id, "piece", "start", "ids_crc32")
     ranked = dealt.withColumn("own", F.row_number().over(own) - 1).join(offsets, ["length", "bucket"]).select(doc_id, "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own")).alias("rank"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
