@@ -183,14 +183,8 @@ def text_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "c.cue", F.size("c.matches").cast("long").alias("n"))
 
 
-@query("SELECT conv_id, turn, left(concat_ws(' [SEP] ', nullif(trim(role), ''), nullif(trim(text), '')), 120) AS assembled FROM conversations")
-def assemble_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.assemble(["role", "text"], max_chars=120).alias("assembled"))
-
-
 @query("SELECT conv_id, turn, left(concat_ws(' [SEP] ', nullif(trim(role), ''), nullif(trim(text), '')), 4000) AS assembled FROM conversations")
-def assemble_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As assemble_text, with the limit of the operator."""
+def assemble_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.assemble(["role", "text"]).alias("assembled"))
 
 
@@ -204,15 +198,8 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", extract.tag_text("html", "title").alias("title"), extract.tag_text("html", "h1").alias("heading"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r|a-d]') THEN '''' || text ELSE text END AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || left(text, 40) ELSE '-' || left(text, 40) END AS text FROM documents)")
-def guarded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.when(F.col("doc_id") % 3 == 0, F.lit("=")).otherwise(F.lit("-"))
-    return _documents(spark, sf_dir).select("doc_id", tx.guard_cell(F.concat(start, F.substring("text", 1, 40))).alias("cell"))
-
-
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || text WHEN doc_id % 3 = 1 THEN '-' || text ELSE text END AS text FROM documents)")
-def guarded_cells_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As guarded_cells, on whole texts."""
+def guarded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.when(F.col("doc_id") % 3 == 0, F.lit("=")).when(F.col("doc_id") % 3 == 1, F.lit("-")).otherwise(F.lit(""))
     return _documents(spark, sf_dir).select("doc_id", tx.guard_cell(F.concat(start, "text")).alias("cell"))
 
@@ -301,16 +288,9 @@ def boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners.join(F.broadcast(n)).where(F.col("owners") > F.greatest(F.lit(2), "n")).select(F.md5(F.col("line").cast("binary")).alias("line_key"), "owners")
 
 
-@query("""WITH b AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)
-SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(list_zip(x.bits, y.bits), lambda z: CASE WHEN z[1] = z[2] THEN 0 ELSE 1 END)) AS INTEGER) AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE distance <= 6""")
-def signature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.signature_pairs(_signatures(spark, sf_dir, F.slice("embedding", 1, 32)), most=6, bits=32)
-
-
 @query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)
 SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(list_zip(x.bits, y.bits), lambda z: CASE WHEN z[1] = z[2] THEN 0 ELSE 1 END)) AS INTEGER) AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE distance <= 6""")
-def signature_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As signature_pairs, by the signs of all 64 components."""
+def signature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.signature_pairs(_signatures(spark, sf_dir, F.col("embedding")), most=6)
 
 
@@ -381,22 +361,21 @@ UNION ALL SELECT {UID}, 'enriched', 'b', doc_id, CASE WHEN doc_id % 5 = 0 THEN '
 UNION ALL SELECT {UID}, 'enriched', 'c', doc_id, coalesce({LABEL_SQL}, 'unknown'), '', 'https://e.org/' || doc_id, {twice} FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 26 = 0)"""
 
 
-INPUTS_SQL = inputs_sql("left(text, 50)", "left(text, 60)", "left(text, 70)")
-#: Whole texts: the better tier appends a mark, and of its second variants every other differs in the last character.
-WHOLE_INPUTS_SQL = inputs_sql("text", "text || '#'", "text || CASE WHEN doc_id % 52 = 0 THEN '+' ELSE '#' END")
+#: The better tier appends a mark to the text, and of its second variants every other differs in the last character.
+INPUTS_SQL = inputs_sql("text", "text || '#'", "text || CASE WHEN doc_id % 52 = 0 THEN '+' ELSE '#' END")
 
 
-def _inputs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text").join(_labels(spark, sf_dir).select("doc_id", F.col("label").alias("own")), "doc_id", "left").withColumn("own", F.coalesce("own", F.lit("unknown")))
     uid, site = tx.uid("source", "doc_id").alias("uid"), F.lit("https://e.org/")
 
-    def tier(rows: DataFrame, name: str, path: str, label: Column, verdict: Column, url: Column, chars: int, end: Column) -> DataFrame:
-        return rows.select(uid, F.lit(name).alias("tier"), F.lit(path).alias("path"), F.col("doc_id").alias("line"), label.alias("label"), verdict.alias("verdict"), url.alias("url"), (F.concat("text", end) if whole else F.substring("text", 1, chars)).alias("body"))
+    def tier(rows: DataFrame, name: str, path: str, label: Column, verdict: Column, url: Column, end: Column) -> DataFrame:
+        return rows.select(uid, F.lit(name).alias("tier"), F.lit(path).alias("path"), F.col("doc_id").alias("line"), label.alias("label"), verdict.alias("verdict"), url.alias("url"), F.concat("text", end).alias("body"))
 
     own, none, id_ = F.col("own"), F.lit(""), F.col("doc_id")
-    raw = tier(docs, "raw", "a", own, none, F.concat(site, id_, F.lit("/#x")), 50, none)
-    better = tier(docs.where("doc_id % 2 = 0"), "enriched", "b", F.when(id_ % 5 == 0, "unknown").otherwise(own), F.when(id_ % 7 == 0, "Fake").otherwise(""), F.concat(site, F.when(id_ % 11 == 0, -1).otherwise(id_)), 60, F.lit("#"))
-    twice = tier(docs.where("doc_id % 26 = 0"), "enriched", "c", own, none, F.concat(site, id_), 70, F.when(id_ % 52 == 0, "+").otherwise("#"))
+    raw = tier(docs, "raw", "a", own, none, F.concat(site, id_, F.lit("/#x")), none)
+    better = tier(docs.where("doc_id % 2 = 0"), "enriched", "b", F.when(id_ % 5 == 0, "unknown").otherwise(own), F.when(id_ % 7 == 0, "Fake").otherwise(""), F.concat(site, F.when(id_ % 11 == 0, -1).otherwise(id_)), F.lit("#"))
+    twice = tier(docs.where("doc_id % 26 = 0"), "enriched", "c", own, none, F.concat(site, id_), F.when(id_ % 52 == 0, "+").otherwise("#"))
     return raw.unionByName(better).unionByName(twice)
 
 
@@ -405,7 +384,7 @@ SELECTION_SQL = """m AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''
 g AS (SELECT uid, count(DISTINCT plain) AS urls, count(DISTINCT CASE WHEN NOT top OR tier = 'enriched' THEN body END) AS bodies, count(DISTINCT kl) AS nk, count(*) AS variants,
   len(list_distinct(list_concat(coalesce(list(kl) FILTER (WHERE kl IS NOT NULL), []), coalesce(list(vl) FILTER (WHERE vl IS NOT NULL), [])))) AS ks, arg_min(label, (path, line)) FILTER (WHERE NOT top OR tier = 'enriched') AS wl, min((path, line)) FILTER (WHERE NOT top OR tier = 'enriched') AS win FROM m GROUP BY uid),
 j AS (SELECT *, list_filter([CASE WHEN bodies > 1 THEN 'ambiguous_records_at_winning_tier' END, CASE WHEN ks > 1 THEN 'conflicting_labels_or_verdicts' END, CASE WHEN urls > 1 THEN 'conflicting_provenance_urls' END, CASE WHEN nk > 0 AND wl = 'unknown' THEN 'enrichment_would_discard_known_label' END], lambda x: x IS NOT NULL) AS reasons FROM g)"""
-SELECT_SQL, WHOLE_SELECT_SQL = f"{INPUTS_SQL}, {SELECTION_SQL}", f"{WHOLE_INPUTS_SQL}, {SELECTION_SQL}"
+SELECT_SQL = f"{INPUTS_SQL}, {SELECTION_SQL}"
 
 
 @query(f"WITH {SELECT_SQL} SELECT rows.uid, tier, label FROM rows JOIN j ON rows.uid = j.uid AND (path, line) = win WHERE len(reasons) = 0")
@@ -418,18 +397,6 @@ def input_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.select_inputs(_inputs(spark, sf_dir), ["body"])[1].select("uid", F.array_join("reasons", ",").alias("reasons"), "variants")
 
 
-@query(f"WITH {WHOLE_SELECT_SQL} SELECT rows.uid, tier, label FROM rows JOIN j ON rows.uid = j.uid AND (path, line) = win WHERE len(reasons) = 0")
-def selected_inputs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As selected_inputs, on whole texts."""
-    return audit.select_inputs(_inputs(spark, sf_dir, whole=True), ["body"])[0].select("uid", "tier", "label")
-
-
-@query(f"WITH {WHOLE_SELECT_SQL} SELECT uid, array_to_string(reasons, ',') AS reasons, variants FROM j WHERE len(reasons) > 0")
-def input_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As input_conflicts, on whole texts."""
-    return audit.select_inputs(_inputs(spark, sf_dir, whole=True), ["body"])[1].select("uid", F.array_join("reasons", ",").alias("reasons"), "variants")
-
-
 @query()
 def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir).join(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
@@ -539,25 +506,18 @@ def spaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEGMENTS_SQL = "s AS (SELECT conv_id, turn, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l, l + length(text) AS r FROM conversations)"
 
 
-@query(f"WITH {SEGMENTS_SQL}, f AS (SELECT DISTINCT conv_id, 100 * k AS a, 100 * k + 250 AS b FROM conversations, range(0, 4) x(k)) SELECT f.conv_id, CAST(a AS BIGINT) AS from_char, CAST(b AS BIGINT) AS to_char, CAST(min(turn) AS DOUBLE) AS time_start, CAST(max(turn) + 1 AS DOUBLE) AS time_end FROM f JOIN s ON f.conv_id = s.conv_id AND l < b AND r > a GROUP BY ALL")
-def segment_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns, segments = _segments(spark, sf_dir)
-    findings = turns.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.struct(F.lit(100 * k).cast("long").alias("from_char"), F.lit(100 * k + 250).cast("long").alias("to_char")) for k in range(4)])).alias("x")).select("conv_id", "x.*")
-    return media.overlapping(findings, segments, "conv_id")
-
-
 @query(f"WITH {SEGMENTS_SQL}, f AS (SELECT conv_id, 100 * k AS a, 100 * k + 250 AS b FROM (SELECT conv_id, unnest(range(0, greatest(CAST(max(r) + 99 AS BIGINT) // 100, 1))) AS k FROM s GROUP BY conv_id)) SELECT f.conv_id, CAST(a AS BIGINT) AS from_char, CAST(b AS BIGINT) AS to_char, CAST(min(turn) AS DOUBLE) AS time_start, CAST(max(turn) + 1 AS DOUBLE) AS time_end FROM f JOIN s ON f.conv_id = s.conv_id AND l < b AND r > a GROUP BY ALL")
-def segment_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As segment_overlap, with findings over the whole length of each conversation."""
+def segment_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings stand over the whole length of each conversation."""
     _, segments = _segments(spark, sf_dir)
     last = F.greatest(F.ceil(F.max("right") / 100) - 1, F.lit(0))
     findings = segments.groupBy("conv_id").agg(last.alias("last")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") * 100, F.lit(100).cast("long"))).alias("from_char"))
     return media.overlapping(findings.withColumn("to_char", F.col("from_char") + 250), segments, "conv_id")
 
 
-@query("WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS nth FROM documents WHERE lang IN ('en', 'de', 'fr')) SELECT lang, doc_id, CAST(nth AS INTEGER) AS nth, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END::BIGINT AS place FROM n")
+@query("WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS nth FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')) SELECT lang, doc_id, CAST(nth AS INTEGER) AS nth, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END::BIGINT AS place FROM n")
 def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.interleave(_documents(spark, sf_dir).select("lang", "doc_id"), "lang", "doc_id", ["en", "de", "fr"])
+    return media.interleave(_documents(spark, sf_dir).select("lang", "doc_id"), "lang", "doc_id", ["en", "de", "fr", "es"])
 
 
 @query("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3")
