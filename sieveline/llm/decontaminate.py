@@ -9,7 +9,7 @@ as their fingerprint.
 The benchmark is broadcast in blocks of at most ``block_chars`` characters; a larger one takes more
 passes, each over all documents and without a shuffle.
 
-Null texts have no words. Items with a null id are left out, since no result could name them. Repeated
+Null texts have no words. Items with a null id mark words as hit, but are neither named nor counted. Repeated
 documents each get their row; repeated items count once by id. Empty tables give empty or hitless results.
 """
 
@@ -32,7 +32,7 @@ BLOCK_CHARS = 8_000_000
 class Fingerprints:
     """The windows of benchmark items, by length: (window words, sorted fingerprints, sorted window hashes, texts by hash)."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, gram: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int, gram: int):
         self.hashes, self.powers = WordHashes(), Powers()
         self.window, self.gram = window, gram
         found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
@@ -94,7 +94,7 @@ def _hits(index: Fingerprints, docs: list[list[bytes]]) -> list[tuple[np.ndarray
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Adds n_words, hit_words (packed bits, one a word, null if none) and hit_items (item ids as strings, sorted) to documents."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body")).where("item is not null and body is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body")).where("body is not null")
     chars = items.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     plain = [c for c in documents.columns if c not in ("n_words", "hit_words", "hit_items")]
@@ -118,7 +118,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "
                         bits.append((packed if old is None else packed | np.frombuffer(old, np.uint8)).tobytes())
                     else:
                         bits.append(old)
-                    ids.append(sorted({*had, *new}))
+                    ids.append(sorted({*had, *new} - {None}))
                 columns = {c: batch.column(c) for c in batch.schema.names}
                 columns |= {"n_words": pa.array(sizes, pa.int64()), "hit_words": pa.array(bits, pa.binary()), "hit_items": pa.array(ids, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_pydict(columns)
@@ -155,12 +155,12 @@ def brute_force(documents: list[tuple[int, str | None]], benchmark: list[tuple[i
         for item, body in benchmark:
             own = alnum_words(body)
             n = min(window, len(own))
-            if item is None or not n:
+            if not n:
                 continue
             wanted = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
             for p in range(len(words) - n + 1):
                 if tuple(words[p : p + n]) in wanted:
                     hit.update(range(p, p + n))
-                    items.add(str(item))
+                    items.update([] if item is None else [str(item)])
         out.append((doc, len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
     return out

@@ -4,6 +4,7 @@ Each language has a letter-trigram model (the chance of a letter after the two b
 and single letters). A document's words are a mixture of draws from the languages; expectation-maximisation
 estimates the proportions. A set of languages is chosen by penalised likelihood: starting from all, the
 language with the least share is left out for as long as the likelihood lost is below the penalty for it.
+Estimation ends by a bound of the likelihood that is still missing, not after a number of rounds.
 The predicted language is the one with the largest share in the chosen set.
 
 The models are fitted on at most about ``sample`` documents of each language, taken evenly by a hash of
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 SAMPLE = 3_000
 ROUNDS, PENALTY = 12, 3.0
+#: Log-likelihood that may be missing when estimation ends; it rises in proportion beyond SLOW rounds, so that ties end.
+TOLERANCE, SLOW = 0.05, 600
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -123,15 +126,27 @@ class Trigrams(dict):
             self.known.clear()
 
 
-def mixture(logs: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Shares of the languages by expectation-maximisation, and the log-likelihood under them."""
+def mixture(logs: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, enough: float = -math.inf) -> tuple[np.ndarray, float, float]:
+    """Shares of the languages by expectation-maximisation, the log-likelihood under them, and a bound of what is missing to the greatest.
+
+    After the first ``rounds``, rounds go on until the bound is below TOLERANCE, or no likelihood above ``enough`` can be reached.
+    """
     top = logs.max(axis=1, keepdims=True)
     p = np.exp(logs - top)
-    total = counts.sum()
+    total, shift = counts.sum(), float(counts @ top[:, 0])
     shares = np.full(logs.shape[1], 1 / logs.shape[1])
-    for _ in range(rounds):
-        shares = shares * ((counts / np.maximum(p @ shares, 1e-30)) @ p) / total
-    return shares / shares.sum(), float(counts @ (np.log(np.maximum(p @ shares, 1e-30)) + top[:, 0]))
+    done = 0
+    while True:
+        for _ in range(rounds):
+            shares = shares * ((counts / np.maximum(p @ shares, 1e-30)) @ p) / total
+        done += rounds
+        shares /= shares.sum()
+        under = np.maximum(p @ shares, 1e-30)
+        like = float(counts @ np.log(under)) + shift
+        # the likelihood is concave in the shares, so its slope towards the best single language bounds the gain
+        gain = max(0.0, float(((counts / under) @ p).max()) - total)
+        if gain <= TOLERANCE * max(1.0, done / SLOW) or like + gain <= enough:
+            return shares, like, gain
 
 
 def choose(logs: np.ndarray, counts: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> tuple[list[int], np.ndarray]:
@@ -142,15 +157,14 @@ def choose(logs: np.ndarray, counts: np.ndarray, penalty: float = PENALTY, round
     price = penalty * math.log(1 + counts.sum())
     if n_langs == 1:
         return [0], np.ones(1)
-    shares, like = mixture(logs, counts, rounds)
-    if like - single[best] <= price:  # no larger set can make up for even one more penalty
+    shares, like, gain = mixture(logs, counts, rounds, float(single[best]) + price)
+    if like + gain - single[best] <= price:  # no larger set can make up for even one more penalty
         return [best], shares[[best]]
-    members = [i for i in np.argsort(-shares, kind="stable").tolist() if shares[i] > 0.01]
-    shares, like = mixture(logs[:, members], counts, rounds)
+    members = list(range(n_langs))
     while len(members) > 1:
         weak = int(shares.argmin())
         fewer = members[:weak] + members[weak + 1 :]
-        new_shares, new_like = mixture(logs[:, fewer], counts, rounds)
+        new_shares, new_like, _ = mixture(logs[:, fewer], counts, rounds, like - price)
         if like - new_like > price:
             break
         members, shares, like = fewer, new_shares, new_like

@@ -7,8 +7,9 @@ the same over reversed links spreads distrust from the blocked ones (who links t
 A host is blocked if its distrust exceeds its trust by ``threshold`` or more.
 
 Only DataFrame functions are used. Pages are pre-aggregated to hosts and to weighted pairs of hosts before
-anything is joined; ranks are joined to links by host in ``rounds`` rounds, and every few of them the ranks are
-checkpointed. Host verdicts are joined to pages by broadcast while there are at most ``broadcast_hosts``, else
+anything is joined; ranks are joined to links by host, round after round until they stand still within ``tolerance``,
+and every few rounds they are checkpointed. A seed starts with rank one, and what reaches a host without links ends there,
+so ranks are no distribution; both kinds are measured alike. Host verdicts are joined to pages by broadcast while there are at most ``broadcast_hosts``, else
 by a join salted over the hot hosts' pages.
 
 Null urls, and urls without ``://``, have an empty host and path; an empty host has no rule, no links and no
@@ -25,7 +26,9 @@ from sieveline.llm.common import Scratch, cut
 
 #: (verdict, host, path). A rule covers its host and all subdomains, where the url's path starts with its path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-DAMPING, ROUNDS, THRESHOLD, BROADCAST_HOSTS, SALTS = 0.85, 12, 0.05, 100_000, 32
+DAMPING, TOLERANCE, THRESHOLD, BROADCAST_HOSTS, SALTS = 0.85, 1e-6, 0.05, 100_000, 32
+#: Rounds of the SQL, which can't test for convergence; a seed's rank is then off by 0.85**120, or 3e-9, at most.
+SQL_ROUNDS = 120
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,19 +64,26 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, every: int = 6) -> DataFrame:
-    """Ranks (kind, host, rank). links: kind, src, dst, share (the shares of a source sum to one); seeds: kind, host, seed."""
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, every: int = 6) -> DataFrame:
+    """Ranks (kind, host, rank). links: kind, src, dst, share (the shares of a source sum to one); seeds: kind, host, seed.
+
+    Rounds go on until all ranks together can't move by more than tolerance any more.
+    """
     ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
     start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-    for i in range(1, rounds + 1):
-        sent = links.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
-        ranks = sent.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % every == 0 and i < rounds:
-            ranks = cut(ranks)
-    return ranks
-
-
-def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: list[tuple[str, str, str]] | None = None, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    still = damping**every / (1 - damping**every)  # of the change of these rounds, the most that all later ones can add
+    while True:
+        before = ranks
+        for _ in range(every):
+            sent = links.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
+            ranks = sent.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        ranks = cut(ranks)
+        change = ranks.unionByName(before.withColumn("rank", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("by"))
+        if (change.agg(F.sum("by")).first()[0] or 0.0) * still <= tolerance:
+            return ranks
+
+
+def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: list[tuple[str, str, str]] | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """Adds host, path, rule, verdict, trust and distrust to pages, in place of columns of those names."""
     scratch = Scratch(pages.sparkSession, "hosts")
     made = ("host", "path", "rule", "verdict", "trust", "distrust")
@@ -90,7 +100,7 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: list[tu
     if found.isEmpty():  # no link carries anything: each seed keeps the share that returns to it
         ranks = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
     else:
-        ranks = propagate(links, seeds, damping, rounds)
+        ranks = propagate(links, seeds, damping, tolerance)
     scored = ranks.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0.0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0.0)).alias("distrust"))
     verdicts = scratch.save(scored.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust")), "ranks")
     if verdicts.count() <= broadcast_hosts:
@@ -108,7 +118,7 @@ def report(pages: DataFrame, **options) -> DataFrame:
     return judge(pages.select("page_id", "url", "html"), **options).select("page_id", "host", "path", "rule", "verdict")
 
 
-def oracle_sql(damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> str:
+def oracle_sql(damping: float = DAMPING, rounds: int = SQL_ROUNDS, threshold: float = THRESHOLD) -> str:
     """The whole method in SQL, a table a round."""
     rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
     lower = f"translate(regexp_extract(%s, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"

@@ -134,8 +134,9 @@ def test_line_dedup(spark):
 def test_decontamination(spark):
     items = [(1, " ".join(words(2, 70)[:30])), (2, "One  TWO"), (3, "three"), (4, None), (5, ""), (10, " ".join(words(1, 300)[100:140]).upper()), (2, "One  TWO"), (None, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    data = corpus() + [(900, "x One two y three"), (901, "ONE, two: ûber")]
+    data = corpus() + [(900, "x One two y three"), (901, "ONE, two: ûber"), (902, "One")]
     expected = sorted(decontaminate.brute_force(data, items), key=repr)
+    assert next(x for x in expected if x[0] == 902)[1:4] == (1, 1, 0)  # of the item without an id
     for chars in (8_000_000, 100):
         assert rows(decontaminate.report(frame(spark, data), bench, block_chars=chars)) == expected
     assert sum(r[5] for r in expected) > 8
@@ -184,6 +185,45 @@ def test_language(spark):
     assert language.learn(docs.limit(0)) == []
 
 
+def test_mixture_against_brute_force():
+    """The shares against a fine grid; the choice against all sets of languages."""
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    like = lambda logs, counts, shares: float(counts @ np.log(np.exp(logs) @ shares))
+    grid = [np.array([a, b, 60 - a - b]) / 60 for a in range(61) for b in range(61 - a)]
+    for case in range(6):
+        # words of which each is likelier in one language, in proportions that differ by case
+        own = r.choice(3, 300, p=[[1, 0, 0], [0.6, 0.4, 0], [0.3, 0.4, 0.3], [0.97, 0.03, 0], [0.9, 0.05, 0.05], [0.99, 0.005, 0.005]][case])
+        logs = np.log(np.where(np.arange(3) == own[:, None], 0.02, 0.002) * r.uniform(0.5, 1.5, (300, 3)))
+        counts = r.integers(1, 4, 300).astype(float)
+        shares, reached, missing = language.mixture(logs, counts)
+        assert reached == pytest.approx(like(logs, counts, shares)) and missing <= language.TOLERANCE
+        assert reached >= max(like(logs, counts, g) for g in grid) - language.TOLERANCE
+        price = language.PENALTY * np.log(1 + counts.sum())
+        worth = {m: language.mixture(logs[:, m], counts)[1] - price * len(m) for k in (1, 2, 3) for m in itertools.combinations(range(3), k)}
+        assert tuple(sorted(language.choose(logs, counts)[0])) == max(worth, key=worth.get)
+
+
+def test_language_of_a_small_share_is_kept():
+    import numpy as np
+
+    # one word in 200, but impossible in the other languages
+    own = np.arange(4000) % 200 == 0
+    logs = np.log(np.stack([np.where(own, 1e-9, 0.01), np.where(own, 0.01, 1e-9), np.full(4000, 1e-6)], axis=1))
+    members, shares = language.choose(logs, np.ones(4000))
+    assert members == [0, 1] and shares[1] == pytest.approx(0.005, abs=1e-4)
+
+
+def test_language_of_empty_tables_and_long_texts(spark):
+    counts = [("aa", " ka", 5), ("bb", " to", 5)]
+    assert language.identify(empty(spark), counts).count() == 0
+    long = spark.createDataFrame([(1, "ka " * 400_000), (2, "ka")], "doc_id long, text string")
+    assert {x.lang_pred for x in language.identify(long, counts).collect()} == {"aa"}
+
+
 def test_held_out(spark):
     import zlib
 
@@ -365,7 +405,7 @@ def test_page_rank_against_brute_force(spark):
     links = spark.createDataFrame([("trust", a, b, n / total[a]) for (a, b), n in edges.items()], "kind string, src string, dst string, share double")
     seeds = spark.createDataFrame([("trust", "h0", 1.0), ("trust", "h3", 1.0)], "kind string, host string, seed double")
     rank = {h: float(h in ("h0", "h3")) for h in hosts}
-    for _ in range(7):
+    for _ in range(200):
         rank = {h: 0.15 * (h in ("h0", "h3")) + 0.85 * sum(rank[a] * n / total[a] for (a, b), n in edges.items() if b == h) for h in hosts}
-    got = {x.host: x.rank for x in url_filter.propagate(links, seeds, 0.85, 7, every=3).collect()}
-    assert all(got.get(h, 0) == pytest.approx(rank[h]) for h in hosts)
+    got = {x.host: x.rank for x in url_filter.propagate(links, seeds, 0.85, 1e-9, every=3).collect()}
+    assert all(got.get(h, 0) == pytest.approx(rank[h], abs=1e-8) for h in hosts)
