@@ -131,17 +131,27 @@ def test_line_dedup(spark):
 
 
 # ------------------------------------------------------------------ 4
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     items = [(1, " ".join(words(2, 70)[:30])), (2, "One  TWO"), (3, "three"), (4, None), (5, ""), (10, " ".join(words(1, 300)[100:140]).upper()), (2, "One  TWO"), (None, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     data = corpus() + [(900, "x One two y three"), (901, "ONE, two: ûber"), (902, "One")]
     expected = sorted(decontaminate.brute_force(data, items), key=repr)
     assert next(x for x in expected if x[0] == 902)[1:4] == (1, 1, 0)  # of the item without an id
-    for chars in (8_000_000, 100):
-        assert rows(decontaminate.report(frame(spark, data), bench, block_chars=chars)) == expected
+    for most in (100_000, 0):
+        assert rows(decontaminate.report(frame(spark, data), bench, broadcast_rows=most)) == expected
     assert sum(r[5] for r in expected) > 8
     assert decontaminate.report(empty(spark), bench).count() == 0
     assert decontaminate.report(frame(spark, data), bench.limit(0)).where("contaminated").count() == 0
+    # full sets let everything through, and names of further columns may clash
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 6)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 6)
+    more = frame(spark, data).withColumn("found", F.lit("own")).withColumn("n_words", F.lit("clash")).withColumn("k1", F.lit("key")).withColumn("words", F.lit("w"))
+    for most in (100_000, 0):
+        got = decontaminate.find_contamination(more, bench, broadcast_rows=most)
+        assert got.columns == [*[c for c in more.columns if c != "n_words"], "n_words", "hit_words", "hit_items"]
+        cut = got.select("doc_id", "n_words", decontaminate.n_hit().alias("n"), F.size("hit_items").cast("long").alias("i"), "found", "k1").collect()
+        assert sorted(((*r[:4],) for r in cut), key=repr) == [x[:4] for x in expected]
+        assert {(r.found, r.k1) for r in cut} == {("own", "key")}
 
 
 # ------------------------------------------------------------------ 5
