@@ -5,10 +5,12 @@ most ``capacity`` lengths, whatever the number of documents. Its result is a lis
 share a sequence) with multiplicities; pieces take their places in it by their rank among those of equal
 length, which Spark counts in salted buckets.
 
-The search: best-fit decreasing gives the incumbent. Bin completion then takes the largest piece left,
-enumerates fillings of the rest of its sequence, keeps the undominated ones, and uses the best as often as
-the counts allow. A dive is pruned once its waste shows that it can't beat the incumbent; further dives take
-a second choice at one step each, until the lower bound is met or the node budget is spent.
+The search: best-fit decreasing gives the incumbent. Bin completion takes the longest piece left and branches on
+the undominated fillings of the rest of its sequence, each as often as the counts allow, or once. A branch is left
+once its waste shows that it can't beat the incumbent. Packings that deviate little from the first choices (least
+waste) are looked at first, then those that deviate more, until the lower bound is met or nothing is left out. That
+is exact, but takes exponential time: ``nodes`` bounds the steps of the whole search, ``steps`` those of the
+enumeration for one sequence. Where they are spent, the best packing found so far is the result.
 
 A null text is an empty one: it is the end token alone. Repeated rows are packed each on their own. Empty
 tables give no rows. Texts of any length are cut, never shortened.
@@ -29,7 +31,8 @@ from pyspark.sql.window import Window
 from sieveline.llm.common import Scratch
 
 CAPACITY, END_ID = 1024, 2
-NODES = 400_000
+#: Steps of the search, and of the enumeration of the fillings of one sequence.
+NODES, STEPS = 1_000_000, 1500
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -150,40 +153,65 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [x for room in open_.values() for x in room]
 
 
-def fillings(room: int, sizes: list[int], counts: dict[int, int], budget: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of a room, least waste first: no piece of one can give way to a longer free piece."""
+def dominated(chosen: tuple[int, ...], waste: int, free: int) -> bool:
+    """Whether pieces of a filling, or none, can give way to one free piece that is longer than they, or as long as two or more.
+
+    Such an exchange never needs another sequence: what gives way fits where the free piece would have stood.
+    Sums of pieces are the bits of a number, as are the lengths of the free pieces.
+    """
+    one = many = 0
+    for s in chosen:
+        many |= (many | one) << s
+        one |= 1 << s
+    if many & free:
+        return True
+    wide, have = 1 | one | many, 1
+    while have < waste:
+        step = min(have, waste - have)
+        wide |= wide << step
+        have += step
+    return waste > 0 and wide << 1 & free > 0
+
+
+def fillings(room: int, free: int, counts: dict[int, int], steps: int, one: bool = False) -> tuple[list[tuple[int, tuple[int, ...]]], bool, int]:
+    """Undominated fillings of a room as (waste, lengths), least waste first; whether all were looked at; the steps that it took.
+
+    free: the lengths of free pieces, as bits. Long pieces are tried first, up to so many steps; if one will do, until
+    nothing is wasted.
+    """
+    if free >> room & 1:  # it dominates all others
+        return [(0, (room,))], True, 1
     found: list[tuple[int, tuple[int, ...]]] = []
+    chosen: list[int] = []
+    fits = lambda left, mask: mask & ((2 << left) - 1)
+    # by piece: what may follow the pieces before it, the room before it, the free pieces before it
+    stack = [(fits(room, free), room, free)]
     spent = 0
-    used: dict[int, int] = {}
-
-    def search(room_left: int, top: int, chosen: tuple[int, ...]) -> bool:
-        """top: sizes[:top] may still be used. True once room is filled wholly or the budget is spent."""
-        nonlocal spent
-        at = min(bisect.bisect_right(sizes, room_left), top)
-        fits = [j for j in range(at - 1, -1, -1) if counts[sizes[j]] > used.get(sizes[j], 0)] if at < 40 else None
-        if room_left == 0 or at == 0 or fits == []:
-            found.append((room_left, chosen))
-            return room_left == 0
-        extended = False
-        for j in fits if fits is not None else range(at - 1, -1, -1):
-            s = sizes[j]
-            if counts[s] <= used.get(s, 0):
-                continue
-            if extended and s * 2 <= room_left and len(chosen) > 3:
-                break
-            spent += 1
-            used[s] = used.get(s, 0) + 1
-            extended = True
-            done = search(room_left - s, j + 1, (*chosen, s))
-            used[s] -= 1
-            if done or spent > budget:
-                return True
-        if not extended:
-            found.append((room_left, chosen))
-        return False
-
-    search(room, len(sizes), ())
-    return sorted(set(found), key=lambda x: (x[0], len(x[1]), tuple(-s for s in x[1])))
+    while stack:
+        mask, left, now = stack.pop()
+        if not mask:
+            if chosen:
+                chosen.pop()
+            continue
+        s = mask.bit_length() - 1
+        stack.append((mask ^ 1 << s, left, now))
+        spent += 1
+        if spent > steps and found:
+            break
+        chosen.append(s)
+        after = now if chosen.count(s) < counts[s] else now ^ 1 << s
+        below = fits(min(left - s, s), after)
+        if not below:
+            if not dominated(tuple(chosen), left - s, after):
+                found.append((left - s, tuple(chosen)))
+                if one and left == s:
+                    return found[-1:], False, spent
+            chosen.pop()
+            continue
+        stack.append((below, left - s, after))
+    if not found:  # nothing fits
+        found.append((room, ()))
+    return sorted(found, key=lambda x: (x[0], len(x[1]), tuple(-s for s in x[1]))), spent <= steps, spent
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -202,41 +230,87 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """Patterns with multiplicities that hold all pieces, by bin completion."""
-    counts = {s: c for s, c in counts.items() if c}
-    best = best_fit(counts, capacity)
-    size = sum(m for _, m in best)
-    least, total = lower_bound(counts, capacity), sum(s * c for s, c in counts.items())
-    swap, spent = -1, 0
-    while size > least and spent < nodes:
-        left, sizes = dict(counts), sorted(counts)
-        dive, waste, bins, step = [], 0, 0, 0
-        while sizes:
-            s = sizes[-1]
-            left[s] -= 1
-            free = [x for x in sizes if left[x]]
-            options = fillings(capacity - s, free, left, 1500)
-            spent += 1 + len(options)
-            rest, chosen = options[min(1 if step == swap else 0, len(options) - 1)]
-            left[s] += 1
+class Completion:
+    """Branch and bound: the sequence of the longest piece left is completed by one undominated filling after the other."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, nodes: int, steps: int):
+        self.left = {s: c for s, c in counts.items() if c}
+        self.capacity, self.nodes, self.steps = capacity, nodes, steps
+        self.total, self.least = sum(s * c for s, c in self.left.items()), lower_bound(self.left, capacity)
+        self.best = best_fit(self.left, capacity)
+        self.size = sum(m for _, m in self.best)
+        self.free = sum(1 << s for s in self.left)
+        self.spent = 0
+
+    def options(self, one: bool) -> tuple[list[tuple[dict[int, int], int, int]], bool]:
+        """(pieces, how often, waste of each) for the longest piece left: each filling as often as the counts allow, then once."""
+        s = self.free.bit_length() - 1
+        self.left[s] -= 1
+        found, whole, steps = fillings(self.capacity - s, self.free if self.left[s] else self.free ^ 1 << s, self.left, self.steps, one)
+        self.left[s] += 1
+        self.spent += steps
+        often, once = [], []
+        for rest, chosen in found:
             need: dict[int, int] = {}
             for x in (s, *chosen):
                 need[x] = need.get(x, 0) + 1
-            times = min(left[x] // n for x, n in need.items())
-            for x, n in need.items():
-                left[x] -= n * times
-            sizes = [x for x in sizes if left[x]]
-            dive.append((tuple(sorted(need.items(), reverse=True)), times))
-            bins, waste, step = bins + times, waste + rest * times, step + 1
-            if waste > (size - 1) * capacity - total:  # no better than the incumbent any more
-                break
-        if not sizes and bins < size:
-            best, size = dive, bins
-        if swap >= step:
-            break
-        swap += 1
-    return best
+            times = min(self.left[x] // n for x, n in need.items())
+            often.append((need, times, rest))
+            if times > 1:
+                once.append((need, 1, rest))
+        return often + once, whole
+
+    def take(self, need: dict[int, int], times: int) -> None:
+        for x, n in need.items():
+            had = self.left[x]
+            self.left[x] = had - n * times
+            if (had > 0) != (self.left[x] > 0):
+                self.free ^= 1 << x
+
+    def search(self, deviations: int) -> bool:
+        """Looks at all packings with so many deviations at most, the n-th option counting n - 1; whether there are no others."""
+        first, whole = self.options(deviations == 0)
+        # by sequence: its options, the one to take next (from the last that is allowed to the first), the deviations before it
+        stack = [[first, min(deviations, len(first) - 1), 0]]
+        whole &= len(first) - 1 <= deviations
+        taken: list[tuple[dict[int, int], int, int]] = []
+        waste = bins = 0
+        while stack:
+            options, i, used = stack[-1]
+            if i < 0 or self.size <= self.least or self.spent >= self.nodes:
+                whole &= i < 0
+                stack.pop()
+                if taken:
+                    need, times, rest = taken.pop()
+                    self.take(need, -times)
+                    waste, bins = waste - rest * times, bins - times
+                continue
+            stack[-1][1] -= 1
+            need, times, rest = options[i]
+            if waste + rest * times > (self.size - 1) * self.capacity - self.total:  # no better than the incumbent any more
+                continue
+            self.take(need, times)
+            if self.free:
+                taken.append((need, times, rest))
+                waste, bins = waste + rest * times, bins + times
+                more = deviations - used - i
+                following, all_ = self.options(more == 0)
+                whole &= all_ and len(following) - 1 <= more
+                stack.append([following, min(more, len(following) - 1), used + i])
+                continue
+            if bins + times < self.size:
+                self.size = bins + times
+                self.best = [(tuple(sorted(n.items(), reverse=True)), m) for n, m, _ in (*taken, (need, times, rest))]
+            self.take(need, -times)
+        return whole
+
+
+def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, steps: int = STEPS) -> list[tuple[Pattern, int]]:
+    """Patterns with multiplicities that hold all pieces, by bin completion; as few as can be, if nodes and steps suffice."""
+    search, deviations = Completion(counts, capacity, nodes, steps), 0
+    while search.size > search.least and search.spent < nodes and not search.search(deviations):
+        deviations += 1
+    return search.best
 
 
 def places(patterns: list[tuple[Pattern, int]]) -> np.ndarray:

@@ -356,6 +356,15 @@ def test_packing(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_undominated_fillings():
+    bits = lambda sizes: sum(1 << x for x in sizes)
+    # (10,) leaves room for the free 60; 30 and 20 can give way to the free 50
+    assert packing.fillings(100, bits([60, 10]), {60: 1, 10: 1}, 1500) == ([(30, (60, 10))], True, 3)
+    assert [x for _, x in packing.fillings(55, bits([50, 30, 20]), {50: 1, 30: 1, 20: 1}, 1500)[0]] == [(50,)]
+    assert packing.fillings(5, bits([7]), {7: 2}, 1500)[0] == [(5, ())]
+    assert sum(m for _, m in packing.complete({7: 1, 5: 1, 4: 1, 3: 2, 2: 1}, 12)) == 2
+
+
 def test_bin_completion_is_least():
     r = random.Random(11)
 
