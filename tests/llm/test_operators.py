@@ -106,6 +106,25 @@ def test_substring_dedup_edges(spark):
     assert kept[1] == text and kept[2] == "tail" and kept[None] == ""
 
 
+def test_substring_dedup_with_full_sets(spark, monkeypatch):
+    """Where all sets are full, no more windows are compared than where they are large."""
+    data = corpus()
+    n, save = {}, substring_dedup.Scratch.save
+
+    def counted(self, df, name, **options):
+        out = save(self, df, name, **options)
+        if name.startswith("windows-"):
+            n.setdefault(bits, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup.Scratch, "save", counted)
+    for bits in (27, 6):
+        monkeypatch.setattr(substring_dedup, "SET_BITS", bits)
+        got = rows(substring_dedup.report(frame(spark, data), batches=2))
+        assert got == sorted(substring_dedup.brute_force(data), key=repr)
+    assert n[6] == n[27] and max(n[6]) < 6_000  # of 27,000 windows, most in a text that shares none
+
+
 # ------------------------------------------------------------------ 3
 def line_brute(data, min_sites):
     sites = {}
