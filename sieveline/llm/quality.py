@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import lower_space_words
 
 BITS, SAMPLE, RIDGE, TOLERANCE = 18, 12_000, 7e-4, 1e-5
+#: Features that one step of the fit takes, about.
+BLOCK = 1 << 18
 
 
 class Features(dict):
@@ -120,8 +122,15 @@ def descend(value, x: np.ndarray, tolerance: float = TOLERANCE, memory: int = 10
 def train(ids: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = BITS, ridge: float = RIDGE) -> OrdinalModel:
     """Maximum penalised likelihood, fitted until it converges; thresholds stay ordered through positive steps between them."""
     sizes = np.array([len(x) for x in ids])
-    known, flat = np.unique(np.concatenate(ids) if len(ids) else np.zeros(0, np.int64), return_inverse=True)
-    owner = np.repeat(np.arange(len(ids)), sizes)
+    held = np.zeros(1 << bits, bool)
+    for x in ids:
+        held[x] = True
+    known, place = np.flatnonzero(held), np.cumsum(held, dtype=np.int32) - 1
+    flat = np.concatenate([place[x] for x in ids])
+    # runs of documents, so that only the features themselves are held for all at once
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(BLOCK, ends[-1], BLOCK)), [len(ids)]]))
+    blocks = [(a, b, ends[a] - sizes[a], ends[b - 1]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     share = np.bincount(grades, minlength=n_grades) / len(grades)
     cumulative = np.clip(np.cumsum(share)[:-1], 0.01, 0.99)
     thresholds = np.maximum.accumulate(np.log(cumulative / (1 - cumulative)) + 1e-3 * np.arange(n_grades - 1))
@@ -134,14 +143,17 @@ def train(ids: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int =
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean negative log-likelihood with the ridge, and its gradient."""
-        score = np.bincount(owner, x[flat], minlength=len(ids))
+        score = np.concatenate([np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), x[flat[low:high]], minlength=b - a) for a, b, low, high in blocks])
         edges = np.concatenate([[-np.inf], ordered(x), [np.inf]])
         up, low = sigmoid(edges[grades + 1] - score), sigmoid(edges[grades] - score)
         up[grades == n_grades - 1], low[grades == 0] = 1.0, 0.0
         p = np.maximum(up - low, 1e-12)
         du, dl = up * (1 - up) / p, low * (1 - low) / p  # d log p by the upper and lower edge
         g = np.empty_like(x)
-        g[:d] = np.bincount(flat, ((du - dl) / len(ids))[owner], minlength=d) + ridge * x[:d]
+        each = (du - dl) / len(ids)
+        g[:d] = ridge * x[:d]
+        for a, b, low, high in blocks:
+            g[:d] += np.bincount(flat[low:high], np.repeat(each[a:b], sizes[a:b]), minlength=d)
         by_edge = np.zeros((len(ids), n_grades - 1))
         inner = grades < n_grades - 1
         by_edge[rows[inner], grades[inner]] += du[inner]
@@ -176,7 +188,8 @@ def fit(documents: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text:
     if len(set(grades.tolist())) < 2:
         return None
     values = got.column("ids").combine_chunks()
-    offsets, flat = values.offsets.to_numpy(), values.values.to_numpy().astype(np.int64)
+    del got
+    offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
     order = np.lexsort((np.diff(offsets), grades))  # sums don't depend on the order in which tasks ended
     return train([flat[offsets[i] : offsets[i + 1]] for i in order], grades[order], n_grades, bits)
 

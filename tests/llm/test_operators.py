@@ -1,7 +1,9 @@
 """Each operator against brute force, on small fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +176,21 @@ def test_decontamination(spark, monkeypatch):
 
 
 # ------------------------------------------------------------------ 5
+def test_quality_fit_memory():
+    """The fit holds little more than the features, 4 bytes each."""
+    r = np.random.default_rng(3)
+    grades = np.arange(2_000) % 3
+    ids = [np.unique(r.integers(0, 4_000, 600) + 300 * g).astype(np.int32) for g in grades]
+    n = sum(map(len, ids))
+    tracemalloc.start()
+    model = quality.train(ids, grades, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * n
+    score = np.array([model.weights[x].sum() for x in ids])
+    assert score[grades == 0].mean() < score[grades == 1].mean() < score[grades == 2].mean()
+
+
 def test_quality(spark):
     r = random.Random(3)
     data, grades = [], []
