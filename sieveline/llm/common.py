@@ -85,6 +85,17 @@ def worker_path(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: One heap for all threads of a worker, of which what is freed goes back to the system; Arrow's batches come from it too.
+LEAN = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": str(1 << 17), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """worker_path, and Python workers that keep no memory from one task for the next; settings that the session has stay."""
+    worker_path(spark)
+    for key, value in LEAN.items():
+        spark.sparkContext.environment.setdefault(key, value)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

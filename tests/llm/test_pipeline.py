@@ -67,3 +67,30 @@ def test_near_copies_go_by_rows(spark, tables):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_copies(spark, docs, tables).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, a), (2, b), (None, c), (3, "")], key=repr)
+
+
+def test_workers_give_memory_back(spark, tables, monkeypatch):
+    from sieveline.llm import common
+
+    environment = spark.sparkContext.environment
+    for key in ("MALLOC_ARENA_MAX", "MALLOC_TRIM_THRESHOLD_", "ARROW_DEFAULT_MEMORY_POOL"):
+        monkeypatch.delitem(environment, key, raising=False)
+    docs = common.read(spark, str(tables), "documents")
+
+    def seen(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            row = [pa.default_memory_pool().backend_name, os.environ.get("MALLOC_ARENA_MAX"), os.environ.get("MALLOC_TRIM_THRESHOLD_")]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], names=["pool", "arenas", "trim"])
+
+    def of_a_worker():
+        return tuple(spark.range(1).mapInArrow(seen, "pool string, arenas string, trim string").first())
+
+    corpus_pipeline.keep_good(spark, docs, str(tables))
+    assert of_a_worker() == ("system", "1", "131072")
+    environment["MALLOC_TRIM_THRESHOLD_"] = "1000000"  # the session's own value stays
+    corpus_pipeline.keep_good(spark, docs, str(tables))
+    assert of_a_worker() == ("system", "1", "1000000")
