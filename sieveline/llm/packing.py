@@ -21,14 +21,16 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sieveline.llm.common import Scratch
+from sieveline.llm.common import Scratch, text_chunks
 
 CAPACITY, END_ID = 1024, 2
 #: Steps of the search, and of the enumeration of the fillings of one sequence.
@@ -41,52 +43,110 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class TokenBytes(dict):
+class TokenBytes:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    A text is parted before each blank that stands between two others than white space; the tokenizer's own
-    first step parts there as well, so the parts can be encoded alone and remembered. Texts with white space
-    before a blank, or with the text of a special token, are encoded whole.
+    A text is parted before each blank that follows another character than white space; the tokenizer's own first
+    step parts there as well, so the parts can be encoded apart. The distinct parts of a run of texts are encoded once,
+    many in a call; the lengths of the tokens tell where each part ends. Texts with the text of a special token are
+    encoded whole.
     """
 
-    BOUND = 300_000
     SPECIAL = "<|endoftext|>"
+    #: Bytes of a run of texts, and of the parts encoded in a call; parts whose ids are copied at once.
+    RUN, CALL, BLOCK = 1 << 22, 1 << 17, 1 << 18
+    #: Letters beyond Latin (from U+0250) begin with this byte or a larger one.
+    BEYOND = 0xC9
 
     def __init__(self, json_path: str, ranks_path: str):
         import base64
-        import re
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.slow = Tokenizer.from_file(json_path)
+        self.json_path = json_path
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = [len(x) for x in ranks]
         self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.joined = re.compile(r"\s ")
+        # last bytes of white space: alone, after C2, two after E1 to E3 (with some that are none)
+        self.spaces = np.zeros((3, 256), bool)
+        for k, last in enumerate(([*range(9, 14), *range(28, 33)], [0x85, 0xA0], [*range(0x80, 0x90), 0x9F, 0xA8, 0xA9, 0xAF])):
+            self.spaces[k, last] = True
+
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.BOUND:
-            self.clear()
-        value = self.plain(part)
-        if len(part) <= 64:
-            self[part] = value
-        return value
+        return Tokenizer.from_file(self.json_path)
 
-    def plain(self, text: str) -> bytes:
+    def ids(self, text: str, latin: bool) -> np.ndarray:
         # the same ids by either library; letters beyond Latin are left to the one that defines them
-        ids = self.fast.encode_ordinary(text) if not text or max(text) < "ɐ" else self.slow.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if self.SPECIAL in text:
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.joined.search(text):
-            return self.plain(text)
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + x] for x in rest])
+        return np.array(self.fast.encode_ordinary(text) if latin else self.slow.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def after_space(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether white space may stand before these places: true for all of it, and for few other characters."""
+        one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+        return self.spaces[0, one] | self.spaces[1, one] & (two == 0xC2) | self.spaces[2, one] & (three >= 0xE1) & (three <= 0xE3)
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; those of null are empty."""
+        texts = texts.fill_null("")
+        marked = pc.match_substring(texts, self.SPECIAL)
+        plain = pc.if_else(marked, pa.scalar("", texts.type), texts)
+        for first, data, offsets in text_chunks(plain, self.RUN):
+            ids, ends = self.run(data, offsets)
+            for i, whole in enumerate(marked[first : first + len(offsets) - 1].to_pylist()):
+                yield self.ids(texts[first + i].as_py(), False).tobytes() if whole else ids[ends[i] : ends[i + 1]].tobytes()
+
+    def run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a run of texts, and where those of each text begin (one more than texts)."""
+        blanks = np.flatnonzero(data == 32)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[blanks[~self.after_space(data, blanks)]] = begins[offsets] = True
+        begin = np.flatnonzero(begins).astype(np.int32)
+        n = len(begin) - 1
+        parts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(begin), pa.py_buffer(data)]).dictionary_encode()
+        which = parts.indices.to_numpy()
+        known, start, count = self.distinct(parts.dictionary)
+        ends = np.zeros(n + 1, np.int64)
+        np.cumsum(count[which], out=ends[1:])
+        ids = np.empty(ends[-1], "<u4")
+        for a in range(0, n, self.BLOCK):
+            b = min(a + self.BLOCK, n)
+            ids[ends[a] : ends[b]] = known[np.repeat(start[which[a:b]] - ends[a:b], np.diff(ends[a : b + 1])) + np.arange(ends[a], ends[b])]
+        return ids, ends[np.searchsorted(begin, offsets)]
+
+    def distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and by part where its own begin there and their number."""
+        n = len(parts)
+        start, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if not n:
+            return np.zeros(0, "<u4"), start, count
+        offsets = np.frombuffer(parts.buffers()[1], np.int32)[: n + 1]
+        data = np.frombuffer(parts.buffers()[2], np.uint8)[: offsets[-1]]
+        size = np.diff(offsets)
+        latin = np.maximum.reduceat(data, offsets[:-1]) < self.BEYOND
+        # such parts are parted again where they meet
+        row = (data[offsets[:-1]] == 32) & ~self.after_space(data, offsets[1:])
+        found, have = [], 0
+        for by in (True, False):
+            among = np.flatnonzero(row & (latin == by))
+            calls = np.split(among, np.flatnonzero(np.diff(np.cumsum(size[among], dtype=np.int64) // self.CALL)) + 1)
+            for some in calls if len(among) else ():
+                ids = self.ids(b"".join(parts.take(pa.array(some)).to_pylist()).decode(), by)
+                ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(size[some], dtype=np.int64)) + 1
+                count[some] = np.diff(ends, prepend=0)
+                start[some] = have + ends - count[some]
+                found.append(ids)
+                have += len(ids)
+        for i in np.flatnonzero(~row).tolist():
+            ids = self.ids(parts[i].as_py().decode(), bool(latin[i]))
+            start[i], count[i] = have, len(ids)
+            found.append(ids)
+            have += len(ids)
+        return np.concatenate(found), start, count
 
 
 def cut_pieces(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, paths: tuple[str, str] | None = None) -> DataFrame:
@@ -98,8 +158,8 @@ def cut_pieces(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
         encode = TokenBytes(*paths).encode
         for batch in batches:
             ids, piece, start, length, crc = [], [], [], [], []
-            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = memoryview(encode(body or "") + end)
+            for i, body in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                data = memoryview(body + end)
                 n = len(data) // 4
                 at, to = 0, n % capacity or capacity
                 while at < n:

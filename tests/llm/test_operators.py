@@ -392,6 +392,41 @@ def test_packing(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_tokens_of_distinct_parts_are_encoded_in_few_calls():
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    tokens, r, sizes = packing.TokenBytes(*packing.tokenizer_paths()), random.Random(5), []
+    ordinary = tokens.fast.encode_ordinary
+    tokens.fast.encode_ordinary = lambda text: sizes.append(len(text)) or ordinary(text)
+    words = ["".join(r.choice("aeionrst") for _ in range(9)) for _ in range(3000)]
+    texts = ["Text " + " ".join(r.choices(words, k=400)) for _ in range(40)]
+    assert list(tokens.encode(pa.array(texts))) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    # a word was a call: some 3,000; now all that repeats is encoded once, in one call and one for the first word
+    assert len(sizes) <= 3 and sum(sizes) <= 31_000
+
+
+def test_tokens_of_odd_texts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    tokens, r = packing.TokenBytes(*packing.tokenizer_paths()), random.Random(3)
+    atoms = [*"        \n\t\x0b\x1c\x85\xa0\u1680\u180e\u2003\u200b\u2028\u202f\u205f\u3000", "\r\n", "'s", "’", "–", "à", "ɏ", "ɐ", "नमस्ते", "中文", "\U0001f600", "a", "the", "42", "²", "&&&", "\0", packing.TokenBytes.SPECIAL, "<|endof", "text|>"]
+    texts = [None, "", *("".join(r.choices(atoms, k=r.choice([1, 2, 9, 40]))) for _ in range(400)), None]
+    wanted = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for run, call, block in ((1, 1, 1), (900, 20, 7), (1 << 22, 1 << 17, 1 << 18)):
+        for name, value in (("RUN", run), ("CALL", call), ("BLOCK", block)):
+            monkeypatch.setattr(packing.TokenBytes, name, value)
+        for kind in (pa.string(), pa.large_string()):
+            assert list(tokens.encode(pa.array(texts, kind))) == wanted
+            assert list(tokens.encode(pa.array(texts, kind)[3:77])) == wanted[3:77]
+        assert list(tokens.encode(pa.array([], pa.string()))) == [] and list(tokens.encode(pa.array([None, ""]))) == [b"", b""]
+
+
 def test_undominated_fillings():
     bits = lambda sizes: sum(1 << x for x in sizes)
     # (10,) leaves room for the free 60; 30 and 20 can give way to the free 50
